@@ -45,11 +45,16 @@ def word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     solid = ~((b == 32) | ((b >= 9) & (b <= 13)))
     edge = np.diff(np.concatenate([[0], solid.view(np.int8), [0]]))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return starts, span_hashes(b, starts, ends - starts)
+
+
+def span_hashes(b: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hash of each span of a byte buffer."""
     powers, inverse = _power_tables(len(b) + 1)
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * powers[: len(b)], dtype=np.uint64)])
-        h = (sums[ends] - sums[starts]) * inverse[starts]
-        return starts, mix(h + (ends - starts).astype(np.uint64) * _STEP)
+        h = (sums[starts + lengths] - sums[starts]) * inverse[starts]
+        return mix(h + lengths.astype(np.uint64) * _STEP)
 
 
 def _pieces(data: bytes) -> list[bytes]:
