@@ -22,8 +22,8 @@ list, so most texts drop out as soon as their shared shingles are counted.
 5. Connected components of the links.
 
 The links found connect exactly what all links connect. Set sizes and overlaps come from
-64-bit hashes: two different shingles of the corpus are taken as one with probability 2^-64
-a pair.
+hashes: two different shingles are taken as one with probability 2^-64 within a text and 2^-56
+between texts.
 """
 
 from __future__ import annotations
@@ -41,17 +41,17 @@ from calibra.llm.components import connected_components
 from calibra.llm.shingles import mix, set_key, shingle_sets
 
 #: Entries that a map task packs before it sends rows; fixes the memory of a task.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Entries that a range task should get.
-RANGE = 1_500_000
+RANGE = 3_000_000
 #: A shingle is frequent if that many of a flush's sets have it, and that share of them.
 FREQUENT, FREQUENT_SHARE = 64, 0.01
 #: Sets that one shard of a leader holds.
 SHARD = 512
-FREQUENT_DF = np.int64(1 << 40)
+FREQUENT_DF = np.int32(1 << 30)
 
 _SIZES = "doc_id long, n_shingles long, set_key long"
-_PACKED = "key long, docs binary, sizes binary, toks binary, refs binary"
+_PACKED = "key long, docs binary, sizes binary, toks binary, refs binary, marks binary"
 _SHARED = "set_key long, n long, toks binary, dfs binary"
 
 
@@ -59,6 +59,28 @@ def _needed(n: int, p: int, q: int) -> int:
     return -(-n * p // q)
 
 
+def pack(toks: np.ndarray) -> bytes:
+    """Ascending 56-bit numbers as the first and the steps, of five bytes where these suffice."""
+    if not len(toks):
+        return b""
+    steps = np.diff(toks)
+    if len(steps) and int(steps.max()) >> 40:
+        return b"\x01" + toks.tobytes()
+    return b"\x00" + toks[:1].tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.uint64)
+    if data[0]:
+        return np.frombuffer(data, np.uint64, offset=1)
+    steps = np.frombuffer(data, np.uint8, offset=9).reshape(-1, 5)
+    wide = np.zeros((len(steps), 8), np.uint8)
+    wide[:, :5] = steps
+    first = np.frombuffer(data, np.uint64, count=1, offset=1)
+    return np.cumsum(np.concatenate([first, wide.reshape(-1).view("<u8")]), dtype=np.uint64)
+
+
 def set_sizes(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n_shingles, set_key) of each row; set_key is null for an empty set."""
 
@@ -74,34 +96,35 @@ def set_sizes(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _packed(docs: DataFrame, k: int, n_ranges: int) -> DataFrame:
-    """Entries (shingle, set) packed by shingle range; ranges from n_ranges on hold echoes.
+    """Entries (shingle, set) packed by shingle range; keys from n_ranges on hold echoes.
 
-    A row has the keys and sizes of its sets, and a token and a set reference an entry. A
-    reference of 65535 marks the token as frequent."""
+    A row has the keys and sizes of its sets, a token (the upper 56 bits of its hash) and a set
+    number for each entry, and the tokens that are frequent."""
 
     def flush(keys: list[int], sizes: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not sets:
             return
-        toks, refs = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        toks, refs = np.concatenate(sets) >> np.uint64(8), np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
         order = np.argsort(toks, kind="stable")
         toks, refs = toks[order], refs[order]
         cuts = run_starts(toks)
         often = np.diff(cuts) >= max(FREQUENT, FREQUENT_SHARE * len(sets))
         frequent = np.repeat(often, np.diff(cuts))
         marks = toks[cuts[:-1][often]]
-        key_arr, size_arr = np.array(keys, np.int64), np.array(sizes, np.int64)
-        out: dict[str, list] = {c: [] for c in ("key", "docs", "sizes", "toks", "refs")}
+        key_arr, size_arr = np.array(keys, np.int64), np.array(sizes, np.int32)
+        out: dict[str, list] = {c: [] for c in ("key", "docs", "sizes", "toks", "refs", "marks")}
 
         def put(key: int, t: np.ndarray, r: np.ndarray, m: np.ndarray) -> None:
             at, back = np.unique(r, return_inverse=True)
             out["key"].append(key)
             out["docs"].append(key_arr[at].tobytes())
             out["sizes"].append(size_arr[at].tobytes())
-            out["toks"].append(np.concatenate([t, m]).tobytes())
-            out["refs"].append(np.concatenate([back.astype(np.uint16), np.full(len(m), 65535, np.uint16)]).tobytes())
+            out["toks"].append(pack(t))
+            out["refs"].append(back.astype(np.uint16).tobytes())
+            out["marks"].append(m.tobytes())
 
         plain_t, plain_r = toks[~frequent], refs[~frequent]
-        width = (1 << 64) // n_ranges + 1
+        width = (1 << 56) // n_ranges + 1
         edges = np.array([i * width for i in range(1, n_ranges)], np.uint64)
         parts, mark_parts = np.concatenate([[0], np.searchsorted(plain_t, edges), [len(plain_t)]]), np.concatenate([[0], np.searchsorted(marks, edges), [len(marks)]])
         for i in range(n_ranges):
@@ -115,7 +138,7 @@ def _packed(docs: DataFrame, k: int, n_ranges: int) -> DataFrame:
             cuts = run_starts(s)
             for a, b in zip(cuts[:-1], cuts[1:]):
                 put(n_ranges + int(s[a]), t[a:b], r[a:b], np.zeros(0, np.uint64))
-        yield pa.record_batch([pa.array(out["key"], pa.int64()), *(pa.array(out[c], pa.binary()) for c in ("docs", "sizes", "toks", "refs"))], names=list(out))
+        yield pa.record_batch([pa.array(out["key"], pa.int64()), *(pa.array(out[c], pa.binary()) for c in list(out)[1:])], names=list(out))
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sizes, sets, held, total = [], [], [], set(), 0
@@ -140,21 +163,20 @@ def _shared_of_range(n_ranges: int):
 
     def run(table: pa.Table) -> pa.Table:
         key = table.column("key")[0].as_py()
-        docs, sizes, toks, refs, at = [], [], [], [], 0
-        marks = []
-        for d, z, t, r in zip(*(table.column(c).to_pylist() for c in ("docs", "sizes", "toks", "refs"))):
-            d, z, t, r = np.frombuffer(d, np.int64), np.frombuffer(z, np.int64), np.frombuffer(t, np.uint64), np.frombuffer(r, np.uint16)
-            plain = r != 65535
-            marks.append(t[~plain])
-            docs.append(d)
-            sizes.append(z)
-            toks.append(t[plain])
-            refs.append(r[plain].astype(np.int64) + at)
-            at += len(d)
+        docs, sizes, toks, refs, marks, at = [], [], [], [], [], 0
+        for i in range(table.num_rows):
+            d, z, t, r, m = (table.column(c)[i].as_py() for c in ("docs", "sizes", "toks", "refs", "marks"))
+            docs.append(np.frombuffer(d, np.int64))
+            sizes.append(np.frombuffer(z, np.int32))
+            toks.append(unpack(t))
+            refs.append(np.frombuffer(r, np.uint16).astype(np.int32) + np.int32(at))
+            marks.append(np.frombuffer(m, np.uint64))
+            at += len(docs[-1])
         doc, size, tok, ref = np.concatenate(docs), np.concatenate(sizes), np.concatenate(toks), np.concatenate(refs)
+        del docs, sizes, toks, refs
         # one number for each set, though several flushes sent it
         uniq, first, number = np.unique(doc, return_index=True, return_inverse=True)
-        size, ref = size[first], number[ref]
+        size, ref = size[first].astype(np.int64), number.astype(np.int32)[ref]
         if key < n_ranges:
             order = np.argsort(tok, kind="stable")
             tok, ref = tok[order], ref[order]
@@ -171,14 +193,14 @@ def _shared_of_range(n_ranges: int):
             tok, ref = tok[new], ref[new]
             cuts = run_starts(tok)
             lengths = np.diff(cuts)
-            df = np.where(np.isin(tok[cuts[:-1]], mark), FREQUENT_DF, lengths)
+            df = np.where(np.isin(tok[cuts[:-1]], mark), FREQUENT_DF, lengths).astype(np.int32)
             keep = np.repeat(df > 1, lengths)
             df = np.repeat(df, lengths)[keep]
             tok, ref = tok[keep], ref[keep]
         else:
-            df = np.full(len(tok), FREQUENT_DF)
+            df = np.full(len(tok), FREQUENT_DF, np.int32)
         order = np.argsort(ref, kind="stable")
-        tok, ref, df = tok[order], ref[order], df[order].astype(np.int64)
+        tok, ref, df = tok[order], ref[order], df[order]
         cuts = run_starts(ref)
         owner = ref[cuts[:-1]]
         return pa.table({"set_key": pa.array(uniq[owner]), "n": pa.array(size[owner]), "toks": binary_array(tok, cuts), "dfs": binary_array(df, cuts)})
@@ -193,7 +215,7 @@ def _short_lists(p: int, q: int):
         for batch in rows:
             out: dict[str, list] = {c: [] for c in ("set_key", "n", "toks", "short", "weight")}
             for key, n, toks, dfs in zip(*(batch.column(c).to_pylist() for c in ("set_key", "n", "toks", "dfs"))):
-                t, d = np.frombuffer(b"".join(toks), np.uint64), np.frombuffer(b"".join(dfs), np.int64)
+                t, d = np.frombuffer(b"".join(toks), np.uint64), np.frombuffer(b"".join(dfs), np.int32)
                 # a shingle may come from its range and as an echo; the echo says that it is frequent
                 order = np.lexsort((-d, t))
                 t, d = t[order], d[order]
