@@ -6,7 +6,8 @@
    sign may stand for, with a channel cost, and runs may shrink. Viterbi search under the
    character model finds the likeliest reading.
 3. Words and word beginnings of the restored texts of a bounded labelled sample are counted
-   by label. Those that are strongly toxic are kept with their precision.
+   by label, with a sketch of the words before them so that copies of one text don't count as
+   many uses. Those that are strongly toxic are kept with their precision.
 4. A text's score is the noisy-or of the precisions of its restored tokens.
 """
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -28,7 +30,9 @@ from calibra.llm.folds import in_fold, label_sample
 #: Labelled rows that the lexicon is fitted on at most, and lexicon entries kept at most.
 SAMPLE, ENTRIES = 30_000, 20_000
 #: An entry needs that precision, and that many nats above the best chance entry.
-PRECISION, MARGIN = 0.7, 1.0
+PRECISION, MARGIN = 0.95, 1.0
+#: Bits of the sketch of the words before an entry.
+CONTEXTS = 32
 #: Score of a text without any toxic token.
 LEAK = 0.02
 THRESHOLD = 0.7
@@ -156,33 +160,43 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, model: np.ndarray, mod: int,
     """(precision of each strongly toxic feature, share of toxic texts among those without one)."""
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, toxic, clean = Restorer(model), Counter(), Counter()
+        restorer, toxic, clean, contexts = Restorer(model), Counter(), Counter(), Counter()
         for batch in batches_of(rows, "text", 8 << 20):
             for text, label in zip(texts_of(batch), batch.column("label").to_pylist()):
                 low = text.lower()
-                own: set[str] = set()
-                for raw in set(low.split()):
+                tokens = low.split()
+                before = dict(zip(reversed(tokens), reversed(["", *tokens[:-1]])))
+                own: dict[str, str] = {}
+                for raw, prev in before.items():
                     for word in restorer.readings(raw):
-                        own.update(features_of(word))
+                        for f in features_of(word):
+                            own.setdefault(f, prev)
                 for word in restorer.spaced(low):
-                    own.update(features_of(word))
-                own.add("")  # counts the texts
-                (toxic if label else clean).update(own)
+                    for f in features_of(word):
+                        own.setdefault(f, low[:40])
+                own[""] = ""  # counts the texts
+                (toxic if label else clean).update(own.keys())
+                if label:
+                    for f, prev in own.items():
+                        contexts[f] |= 1 << zlib.crc32(prev.encode()) % CONTEXTS
         keys = list(toxic.keys() | clean.keys())
-        yield pa.record_batch([pa.array(keys, pa.string()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([clean[k] for k in keys], pa.int64())], names=["feature", "toxic", "clean"])
+        yield pa.record_batch([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (toxic, clean, contexts))], names=["feature", "toxic", "clean", "contexts"])
 
     sample = label_sample(labels, "toxic", mod, rest, bound)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "label")
-    counts = rows.mapInArrow(run, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = rows.mapInArrow(run, "feature string, toxic long, clean long, contexts long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_or("contexts").alias("contexts"))
     counts = cut_lineage(counts)
     base = counts.agg(F.count("*"), F.max(F.when(F.col("feature") == "", F.col("toxic"))), F.max(F.when(F.col("feature") == "", F.col("clean")))).first()
     n_features, toxic, clean = base[0], base[1] or 0, base[2] or 0
     if not toxic:
         return {}, LEAK
     rate = (toxic + 0.5) / (toxic + clean + 1)
-    precision = (F.col("toxic") + 2 * rate) / (F.col("toxic") + F.col("clean") + 2)
+    precision = (F.col("toxic") + rate / 4) / (F.col("toxic") + F.col("clean") + 0.25)
+    # copies of one text repeat its words after the same words: no more toxic uses count than contexts
+    seen = F.bit_count("contexts")
+    uses = F.least(F.col("toxic"), F.when(seen >= CONTEXTS - 1, F.col("toxic")).otherwise(-CONTEXTS * F.ln(1 - seen / CONTEXTS)))
     # log likelihood ratio against the base rate, beyond what the best of so many features has by chance
-    gain = F.col("toxic") * F.ln(precision / rate) + F.col("clean") * F.ln((1 - precision) / (1 - rate))
+    gain = uses * F.ln(precision / rate) + F.col("clean") * F.ln((1 - precision) / (1 - rate))
     kept = counts.where(F.col("feature") != "").withColumn("precision", precision).where((F.col("precision") >= PRECISION) & (gain >= math.log(n_features) + MARGIN))
     best = kept.orderBy(F.desc(gain), "feature").limit(ENTRIES).collect()
     return {r.feature: float(r.precision) for r in best}, LEAK
