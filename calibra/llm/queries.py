@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from calibra.llm.bpe import bpe_encode
 from calibra.llm.common import table
+from calibra.llm.language import language_predictions
 from calibra.llm.ngram_join import ngram_jaccard_classes
+from calibra.llm.quality import quality_scores
 from calibra.llm.secrets import secret_digest
 from calibra.llm.toxicity import toxicity_scores
 
@@ -21,16 +23,24 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_predictions(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe_round_trip, op4_ngram_jaccard_join, op6_toxicity, op10_secret_scan)}
+    return {f.__name__: f for f in (op3_bpe_round_trip, op4_ngram_jaccard_join, op5_language_id, op6_toxicity, op8_quality, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
