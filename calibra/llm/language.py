@@ -101,7 +101,7 @@ def fit_languages(docs: DataFrame, mod: int, rest: int, n_landmarks: int = LANDM
         yield pa.record_batch([pa.array(np.arange(width)), pa.array(list(zz), pa.list_(pa.float64())), pa.array(list(zy), pa.list_(pa.float64()))], names=["i", "zz", "zy"])
 
     add = lambda c, n: F.array(*[F.sum(F.col(c)[j]) for j in range(n)]).alias(c)
-    sums = rows.select("text", "lang").mapInArrow(run, "i int, zz array<double>, zy array<double>").groupBy("i").agg(add("zz", width), add("zy", len(languages))).orderBy("i").collect()
+    sums = rows.select("text", "lang").mapInArrow(run, "i long, zz array<double>, zy array<double>").groupBy("i").agg(add("zz", width), add("zy", len(languages))).orderBy("i").collect()
     zz, zy = np.array([r.zz for r in sums]), np.array([r.zy for r in sums])
     return net, np.linalg.solve(zz + RIDGE * max(1.0, zz[-1, -1]) * np.eye(width) / width, zy), languages
 

@@ -10,6 +10,7 @@ from calibra.llm.bpe import bpe_encode
 from calibra.llm.common import table
 from calibra.llm.language import language_predictions
 from calibra.llm.ngram_join import ngram_jaccard_classes
+from calibra.llm.pivot_dedup import near_duplicates
 from calibra.llm.quality import quality_scores
 from calibra.llm.secrets import secret_digest
 from calibra.llm.toxicity import toxicity_scores
@@ -19,6 +20,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_classes(table(spark, sf_dir, "documents"), k=4, p=85, q=100)
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -40,7 +45,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe_round_trip, op4_ngram_jaccard_join, op5_language_id, op6_toxicity, op8_quality, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op3_bpe_round_trip, op4_ngram_jaccard_join, op5_language_id, op6_toxicity, op8_quality, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
