@@ -25,6 +25,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for tables between jobs: the session's spark.checkpoint.dir, else one of our own (tests)."""
+    named = spark.sparkContext._conf.get("spark.checkpoint.dir", None)
+    return named.rstrip("/") if named else tempfile.mkdtemp(prefix="calibra-shared-")
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """Texts of a batch; null counts as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]

@@ -362,3 +362,18 @@ def ngram_jaccard_classes(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     per_set = rooted.join(ids, "root").select("set_key", "component_id")
     return sizes.join(per_set, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each_class(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -> DataFrame:
+    """The document with the smallest doc_id of each class; all columns stay as they are.
+
+    Documents without words or without doc_id stay. Of rows that repeat the doc_id and the
+    text of one document one stays."""
+    classes = cut_lineage(ngram_jaccard_classes(docs, k, p, q))
+    losers = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
+    repeated = cut_lineage(classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns)
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.dropDuplicates(["doc_id", "text"]))

@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from calibra.llm.bpe import bpe_encode
 from calibra.llm.common import table
 from calibra.llm.language import language_predictions
+from calibra.llm.maxscore import exact_top_k
+from calibra.llm.mixing import mix_plan
 from calibra.llm.ngram_join import ngram_jaccard_classes
+from calibra.llm.pii import pii_digest
 from calibra.llm.pivot_dedup import near_duplicates
 from calibra.llm.quality import quality_scores
 from calibra.llm.secrets import secret_digest
@@ -24,6 +27,10 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -36,16 +43,25 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op3_bpe_round_trip, op4_ngram_jaccard_join, op5_language_id, op6_toxicity, op8_quality, op10_secret_scan)}
+    found = (op1_embedding_near_dedup, op2_pii, op3_bpe_round_trip, op4_ngram_jaccard_join, op5_language_id, op6_toxicity, op7_mix_sources, op8_quality, op9_exact_top_k, op10_secret_scan)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
