@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from calibra.plans import folding, policy, windows
 from calibra.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "flagship"]
+__all__ = ["ORACLES", "QUERIES", "flagship", "folding", "policy", "windows"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    return policy.candidates(spark, sf_dir)
