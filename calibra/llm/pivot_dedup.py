@@ -70,7 +70,7 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     kept: list[np.ndarray] = []
     rest = sample
     while len(rest) and len(kept) < n:
-        kept.append(rest[0])
+        kept.append(rest[0].copy())  # a view would keep the whole array
         rest = rest[1:][rest[1:] @ rest[0] < THRESHOLD]
     return np.array(kept)
 
