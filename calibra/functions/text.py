@@ -28,9 +28,20 @@ def headline(url: Column) -> Column:
     return F.when(F.size(long_) > 0, F.substring(F.concat(F.upper(F.substring(best, 1, 1)), F.substring(best, 2, 400)), 1, 160))
 
 
+def tenths(x: Column) -> Column:
+    """A double rounded to tenths by its exact value, ties to even (format_string rounds the shortest decimal up)."""
+    high = F.lit(134217729.0) * x - (F.lit(134217729.0) * x - x)
+    ten = x * 10
+    error = (high * 10 - ten) + (x - high) * 10  # what the product lost
+    down = F.floor(ten)
+    part = ten - down
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (F.pmod(down, F.lit(2)) == 1))))
+    return (down + F.when(up, 1).otherwise(0)) / 10
+
+
 def fmt_number(v: Column, digits: int = 0) -> Column:
     """Millions with one decimal and an M, else thousands separators."""
-    return F.when(F.abs(v) >= 1e6, F.concat(F.format_string("%.1f", v / 1e6), F.lit("M"))).otherwise(F.format_string(f"%,.{digits}f", v))
+    return F.when(F.abs(v) >= 1e6, F.concat(F.format_string("%.1f", tenths(v / 1e6)), F.lit("M"))).otherwise(F.format_string(f"%,.{digits}f", v))
 
 
 def fmt_lat_lon(lat: Column, lon: Column) -> Column:
