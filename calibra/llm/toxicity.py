@@ -75,7 +75,7 @@ def char_model(docs: DataFrame) -> np.ndarray:
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, counts = _class_table(), np.zeros(N_CLASSES**3, np.int64)
-        for batch in batches_of(rows, "text", 8 << 20):
+        for batch in batches_of(rows, "text", 2 << 20):
             code = table[np.frombuffer(("  " + "  ".join(texts_of(batch)) + " ").encode("utf-32-le"), np.uint32)]
             counts += np.bincount((code[:-2] * N_CLASSES + code[1:-1]) * N_CLASSES + code[2:], minlength=N_CLASSES**3)
         some = np.flatnonzero(counts)
