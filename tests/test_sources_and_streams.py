@@ -72,14 +72,15 @@ def test_point_scores_go_on_over_batches(spark, tmp_path):
 
 
 def test_count_scores_close_quiet_windows(spark, tmp_path):
-    rows = [("s", "c", t, 1.0, t) for t in (0, 10, 100, 400, 1000)] + [("s", "d", 2000, 1.0, 2000)]
+    seen, base = [1_000_000 + t for t in (0, 10, 100, 400, 1000)], 1_000_000  # time 0 is at the first watermark, so late
+    rows = [("s", "c", t, 1.0, t) for t in seen] + [("s", "d", base + 2000, 1.0, base + 2000)]
     got = streams.run(live.score_counts(file_stream(spark, tmp_path / "in", rows, 2), 100)).toPandas()
     own = got[got.cell == "c"].sort_values("bin_start")
     bank, want = CountBank(1), []
     for start in own.bin_start.tolist():
-        lo, hi = bank.step(start, np.array([sum(t // 100 * 100 == start for t in (0, 10, 100, 400, 1000))]), 100)
+        lo, hi = bank.step(start, np.array([sum(t // 100 * 100 == start for t in seen)]), 100)
         want.append(float(conservative(lo, hi)[0]))
-    assert own.bin_start.tolist() == list(range(0, own.bin_start.max() + 1, 100)) and own.bin_start.max() >= 400
+    assert own.bin_start.tolist() == list(range(base, own.bin_start.max() + 1, 100)) and own.bin_start.max() >= base + 400
     assert np.allclose(own.q_detect, want)
 
 
