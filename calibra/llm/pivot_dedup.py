@@ -1,11 +1,12 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
 Reference points (pivots) are drawn from a bounded sample. Each different vector is described
-by its nearest pivots in order. The index has an inverted list for each pair of pivots among
-the first LISTED of a description; its length is about the number of vectors over the square
-of the number of pivots. Two vectors of a list are candidates if their descriptions share
-SHARED pivots at least; candidates are verified by their cosine in double precision. A pair
-that meets in several lists counts in the first of these only.
+by its LISTED nearest pivots. Two vectors are candidates if their descriptions share two
+pivots at least; candidates are verified by their cosine in double precision. The index has
+inverted lists for pairs of pivots: a list takes one pivot and a bucket of the pivots after
+it, with so many buckets that a list has about LENGTH vectors. A pair that meets in several
+lists counts in the one of its two least common pivots only. Each dimension has pivots and
+lists of its own.
 
 Equal vectors are one entry with a count. Lists over a bound are split into blocks that meet
 pair by pair, so no task holds an unbounded list. Tasks return sums of links for each vector
@@ -25,15 +26,15 @@ from pyspark.sql import functions as F
 from calibra.llm.common import UnionFind, cut_lineage, ranges, run_starts
 from calibra.llm.components import connected_components
 
-#: Vectors sampled for pivots at most, pivots at most, length of a description, pivots whose
-#: pairs are listed, pivots that candidates share, vectors of a block.
-SAMPLE, MOST_PIVOTS, DESCRIBED, LISTED, SHARED, BLOCK = 8_192, 4_096, 8, 4, 3, 2_048
+#: Vectors sampled for pivots (64 of a dimension at least), pivots of a dimension at most,
+#: pivots of a description, vectors that a list should have, vectors of a block.
+SAMPLE, MOST_PIVOTS, LISTED, LENGTH, BLOCK = 8_192, 4_096, 7, 512, 2_048
 THRESHOLD = 0.9
 
 
 def matrix_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row numbers with a usable vector, their components as doubles); vectors of the commonest
-    dimension only, no null or non-finite component."""
+    """(row numbers with a usable vector, their components as doubles); no null or non-finite
+    component."""
     rows, dims = [], []
     for i, v in enumerate(column.to_pylist()):
         if v and None not in v:
@@ -75,22 +76,32 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return np.array(kept)
 
 
-def _described(pivots: np.ndarray):
-    """Adds to each vector its nearest pivots and the pivot pairs that list it."""
-    m = min(DESCRIBED, len(pivots))
-    a = min(LISTED, m)
-    pairs = [(i, j) for i in range(a) for j in range(i + 1, a)] or [(0, 0)]
+def _list_of(first: np.ndarray, second: np.ndarray, buckets: int, dim: int) -> np.ndarray:
+    """Number of the list of two pivots, the lesser one first."""
+    return (first.astype(np.int64) + dim * MOST_PIVOTS) * MOST_PIVOTS + second % buckets
+
+
+def _described(index: dict[int, tuple[int, np.ndarray, int]]):
+    """Adds to each vector its nearest pivots and its lists.
+
+    index: number, pivots and buckets of each width of a vector in bytes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = batch.column("unit").to_pylist()
-            if not units:
-                continue
-            x = np.frombuffer(b"".join(units), np.float64).reshape(len(units), -1)
-            near = np.concatenate([np.argsort(-(x[i : i + 1024] @ pivots.T), axis=1, kind="stable")[:, :m] for i in range(0, len(x), 1024)])
-            first = np.sort(near[:, :a], axis=1)
-            lists = np.stack([first[:, i] * MOST_PIVOTS + first[:, j] for i, j in pairs], axis=1)
-            yield pa.record_batch([batch.column("node"), batch.column("copies"), batch.column("unit"), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32())), pa.array(list(lists), pa.list_(pa.int64()))], names=["node", "copies", "unit", "near", "lists"])
+            widths = batch.column("width").to_numpy()
+            for width in np.unique(widths).tolist():
+                rows = batch.take(pa.array(np.flatnonzero(widths == width)))
+                dim, pivots, buckets = index[width]
+                x = np.frombuffer(b"".join(rows.column("unit").to_pylist()), np.float64).reshape(rows.num_rows, -1)
+                m = min(LISTED, len(pivots))
+                near = np.concatenate([np.argsort(-(x[i : i + 1024] @ pivots.T), axis=1, kind="stable")[:, :m] for i in range(0, len(x), 1024)])
+                near = np.sort(near, axis=1)
+                pairs = [(i, j) for i in range(m) for j in range(i + 1, m)] or [(0, 0)]
+                lists = np.stack([_list_of(near[:, i], near[:, j], buckets, dim) for i, j in pairs], axis=1)
+                yield pa.record_batch(
+                    [rows.column("node"), rows.column("copies"), rows.column("unit"), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32())), pa.array([np.unique(x) for x in lists], pa.list_(pa.int64())), pa.array(np.full(len(x), buckets, np.int32))],
+                    names=["node", "copies", "unit", "near", "lists", "buckets"],
+                )
 
     return run
 
@@ -127,21 +138,17 @@ def _links_of(rows: pa.Table) -> pa.RecordBatch:
     """Sums of links and spanning links of whole lists; a pair counts in its first list only."""
     node, copies, key, side, one, two = (rows.column(c).to_numpy() for c in ("node", "copies", "list", "block", "one", "two"))
     unit = np.frombuffer(b"".join(rows.column("unit").to_pylist()), np.float64).reshape(len(node), -1)
-    near = np.array(rows.column("near").to_pylist(), np.int32)
+    near, buckets = np.array(rows.column("near").to_pylist(), np.int32), rows.column("buckets").to_numpy()
     whole = np.stack([key, one, two], axis=1)
     cuts = run_starts(np.cumsum(np.concatenate([[True], (whole[1:] != whole[:-1]).any(1)])))
     a, b = _close_pairs(unit, side, one, two, cuts)
     kept_a, kept_b = [], []
-    listed = near[:, : min(LISTED, near.shape[1])]
     for at in range(0, len(a), 1 << 17):
         i, j = a[at : at + (1 << 17)], b[at : at + (1 << 17)]
-        shared = np.zeros(len(i), np.int64)
-        for p in range(near.shape[1]):
-            shared += (near[j] == near[i, p][:, None]).any(1)
-        # the pair's first common list: the two least pivots that both list
-        both = np.sort(np.where((listed[i][:, :, None] == listed[j][:, None, :]).any(2), listed[i], MOST_PIVOTS), axis=1)
-        first = both[:, 0].astype(np.int64) * MOST_PIVOTS + both[:, 1] if both.shape[1] > 1 else key[i]
-        good = (shared >= min(SHARED, near.shape[1])) & (first == key[i])
+        # the two least pivots that both have; a dimension with a single pivot has one list
+        both = np.sort(np.where((near[i][:, :, None] == near[j][:, None, :]).any(2), near[i], MOST_PIVOTS), axis=1)
+        one_, two_ = both[:, 0], both[:, min(1, both.shape[1] - 1)]
+        good = (two_ < MOST_PIVOTS) & (_list_of(one_, two_, buckets[i], key[i] // MOST_PIVOTS**2) == key[i])
         kept_a.append(i[good])
         kept_b.append(j[good])
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (kept_a, kept_b))
@@ -154,31 +161,47 @@ def _links_of(rows: pa.Table) -> pa.RecordBatch:
     return pa.record_batch([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(ids[[sets.find(i) for i in some.tolist()]] if len(some) else ids[:0])], names=["node", "links", "root"])
 
 
+def _index_of(distinct: DataFrame) -> dict[int, tuple[int, np.ndarray, int]]:
+    """Number, pivots and buckets of each width that more than one vector has."""
+    sizes = {r.width: r.n for r in distinct.groupBy("width").agg(F.count("*").alias("n")).where("n > 1").orderBy("width").collect()}
+    if not sizes:
+        return {}
+    roots = sum(math.sqrt(n) for n in sizes.values())
+    wanted = {w: min(n, max(64, int(SAMPLE * math.sqrt(n) / roots))) for w, n in sizes.items()}
+    # a share by hash that gives somewhat more than is wanted
+    shares = distinct.sparkSession.createDataFrame([(w, int(min(1.0, (k + 6 * math.sqrt(k)) / sizes[w]) * (1 << 30))) for w, k in wanted.items()], "_width int, _share long")
+    drawn = distinct.select("node", "unit", "width", F.xxhash64("node").alias("hash")).join(F.broadcast(shares), F.col("width") == F.col("_width")).where(F.pmod("hash", F.lit(1 << 30)) < F.col("_share"))
+    picked: dict[int, list[tuple[int, int, bytes]]] = {}
+    for r in drawn.select("width", "hash", "node", "unit").collect():
+        picked.setdefault(r.width, []).append((r.hash % (1 << 30), r.node, bytes(r.unit)))
+    index = {}
+    for number, (w, n) in enumerate(sizes.items()):
+        sample = np.frombuffer(b"".join(unit for *_, unit in sorted(picked[w])[: wanted[w]]), np.float64).reshape(-1, w // 8)
+        pivots = choose_pivots(sample, int(np.clip(4 * math.isqrt(n), 16, MOST_PIVOTS)))
+        index[w] = (number, pivots, int(np.clip(-(-n * LISTED // (len(pivots) * LENGTH)), 1, MOST_PIVOTS)))
+    return index
+
+
 def near_duplicates(embeddings: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of embeddings (vec_id, embedding).
 
     Vectors link at a cosine of 0.9 and more. A vector that is null, empty, zero or holds null or non-finite
     components links with nothing and is its own component. Vectors of different dimensions
-    don't link; those of other than the commonest dimension are left out of the index. Copies
-    link with each other. Rows that repeat a vec_id are returned as often as they come, each
+    don't link; each dimension has an index of its own. Copies link with each other. Rows that repeat a vec_id are returned as often as they come, each
     counted as a vector of its own. A null vec_id takes part; kept is null where vec_id is."""
     vectors = cut_lineage(unit_vectors(embeddings))
     spark = embeddings.sparkSession
-    width = vectors.where("unit is not null").groupBy(F.octet_length("unit").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    usable = vectors.where((F.col("unit").isNotNull()) & (F.octet_length("unit") == (width.width if width else 0)))
-    distinct = cut_lineage(usable.groupBy("vec_key").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("unit").alias("unit")).withColumnRenamed("vec_key", "node"))
-    n = distinct.count()
-    picked = distinct.select("node", "unit").orderBy(F.xxhash64("node"), "node").limit(min(SAMPLE, max(64, n))).collect()
-    if picked:
-        sample = np.frombuffer(b"".join(r.unit for r in picked), np.float64).reshape(len(picked), -1)
-        pivots = choose_pivots(sample, int(np.clip(4 * math.isqrt(n), 16, MOST_PIVOTS)))
-        entries = cut_lineage(distinct.select("node", "copies", "unit").mapInArrow(_described(pivots), "node long, copies long, unit binary, near array<int>, lists array<long>"))
+    usable = vectors.where("unit is not null")
+    distinct = cut_lineage(usable.groupBy("vec_key").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("unit").alias("unit"), F.first(F.octet_length("unit")).alias("width")).withColumnRenamed("vec_key", "node"))
+    index = _index_of(distinct)
+    if index:
+        entries = cut_lineage(distinct.where(F.col("width").isin(list(index))).select("node", "copies", "unit", "width").mapInArrow(_described(index), "node long, copies long, unit binary, near array<int>, lists array<long>, buckets int"))
         listed = entries.select("node", F.explode("lists").alias("list"))
         lengths = listed.groupBy("list").agg(F.count("*").alias("length")).where("length > 1").withColumn("blocks", F.ceil(F.col("length") / BLOCK).cast("long"))
         placed = listed.join(lengths, "list").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
         placed = placed.withColumn("other", other).select("node", "list", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-        held = placed.join(entries.select("node", "copies", "unit", "near"), "node")
+        held = placed.join(entries.select("node", "copies", "unit", "near", "buckets"), "node")
         found = cut_lineage(_by_list(held))
     else:
         found = spark.createDataFrame([], "node long, links long, root long")
@@ -196,6 +219,11 @@ def _by_list(held: DataFrame) -> DataFrame:
     """Links of all lists; a task walks its lists one after the other."""
     schema = "node long, links long, root long"
 
+    def links_of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        cuts = run_starts(rows.column("list").to_numpy() // MOST_PIVOTS**2)  # by dimension
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            yield _links_of(rows.slice(lo, hi - lo))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
         for batch in batches:
@@ -207,9 +235,9 @@ def _by_list(held: DataFrame) -> DataFrame:
             done = int(np.argmax((key == key[-1]).all(1)))
             rest = rows.slice(done)
             if done:
-                yield _links_of(rows.slice(0, done))
+                yield from links_of(rows.slice(0, done))
         if rest is not None and rest.num_rows > 1:
-            yield _links_of(rest)
+            yield from links_of(rest)
 
     sorted_ = held.repartition("list", "one", "two").sortWithinPartitions("list", "one", "two")
-    return sorted_.select("node", "copies", "unit", "near", "list", "block", "one", "two").mapInArrow(run, schema)
+    return sorted_.select("node", "copies", "unit", "near", "buckets", "list", "block", "one", "two").mapInArrow(run, schema)

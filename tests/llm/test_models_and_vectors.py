@@ -45,6 +45,29 @@ def test_near_duplicates_reach_brute_force(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_links_just_above_the_threshold_are_found(spark):
+    from calibra.llm.pivot_dedup import near_duplicates
+
+    rng = np.random.default_rng(11)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    base = unit(rng.normal(size=(10_000, 16)))
+    away = rng.normal(size=(2_000, 16))
+    away = unit(away - (away * base[:2_000]).sum(1, keepdims=True) * base[:2_000])
+    cosine = rng.uniform(0.9005, 0.92, (2_000, 1))
+    x = np.concatenate([base, cosine * base[:2_000] + np.sqrt(1 - cosine**2) * away])
+    want = int((x @ x.T >= 0.9).sum()) - len(x)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    assert 0.9 * want <= near_duplicates(df).agg({"n_links": "sum"}).first()[0] <= want
+
+
+def test_each_dimension_is_indexed(spark):
+    from calibra.llm.pivot_dedup import near_duplicates
+
+    rows = [(i, [float(np.cos(i)), float(np.sin(i)), 1.0 * (i % 7)]) for i in range(50)] + [(100, [1.0, 2.0]), (101, [1.0, 2.0]), (102, [1.01, 2.0]), (103, [-1.0, 2.0])]
+    got = {r.vec_id: r for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [(got[i].n_links, got[i].component_id) for i in (100, 101, 102, 103)] == [(2, 100), (2, 100), (2, 100), (0, 103)]
+
+
 def test_top_k_equals_brute_force(spark):
     from calibra.llm.maxscore import exact_top_k
 
