@@ -245,12 +245,12 @@ class PairIndexBpe:
         return self.token_bytes[ranges(self.token_at[ids], self.token_len[ids])].tobytes().decode("utf-8", "replace")
 
 
-def bpe_encode(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = True) -> DataFrame:
+def bpe_encode(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_tokens, ids array<int>, ids_sha256, decoded, decoded_sha256) of each row.
 
     A null or empty text has no tokens and decodes to the empty text. Rows come out as they
     go in, repeated ones too; doc_id may be null; other columns are ignored. ids and decoded
-    are left out unless with_ids. tokenizer is the path of a byte-level BPE file that every
+    are left out unless with_ids; the columns in keep are passed on at the end. tokenizer is the path of a byte-level BPE file that every
     executor has."""
     path = tokenizer or default_tokenizer()
     held: dict[str, PairIndexBpe] = {}
@@ -271,10 +271,11 @@ def bpe_encode(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = T
             if with_ids:
                 cols |= {"ids": pa.array(out["ids"], pa.list_(pa.int32())), "decoded": pa.array(out["text"], pa.string())}
             cols |= {"ids_sha256": pa.array(out["ids_sha"], pa.string()), "decoded_sha256": pa.array(out["text_sha"], pa.string())}
+            cols |= {c: batch.column(c) for c in keep}
             yield pa.record_batch(list(cols.values()), names=list(cols))
 
-    schema = "doc_id long, n_tokens long, " + "ids array<int>, decoded string, " * with_ids + "ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    schema = "doc_id long, n_tokens long, " + "ids array<int>, decoded string, " * with_ids + "ids_sha256 string, decoded_sha256 string" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep).mapInArrow(run, schema)
 
 
 def bpe_decode(tokens: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -11,10 +11,11 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from calibra.llm.bpe import bpe_encode
 from calibra.llm.common import shared_folder, table
-from calibra.llm.mixing import in_mix_order
+from calibra.llm.mixing import with_mix_position
 from calibra.llm.ngram_join import one_of_each_class
 from calibra.llm.secrets import redact_secrets
 from calibra.llm.toxicity import keep_clean
@@ -38,13 +39,15 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mix of sources to their target weights."""
-    return in_mix_order(docs)
+    """All documents with mix_position, their place in the mix of sources to target weights.
+
+    Order is a column, since readers of the written table don't keep the order of its rows."""
+    return with_mix_position(docs).select(*docs.columns, F.col("_position").alias("mix_position"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each document."""
-    return bpe_encode(docs, with_ids=False)
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, mix_position) of each document."""
+    return bpe_encode(docs, with_ids=False, keep=("mix_position",))
 
 
 STAGES: list[tuple[str, Stage]] = [

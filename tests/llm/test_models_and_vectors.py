@@ -100,6 +100,38 @@ def test_cycle_is_pfair():
             assert all(abs(seen[x] - given[x] / total * (t + 1)) < 1 for x in given)
 
 
+def test_slots_keep_to_the_exact_weights(spark):
+    from fractions import Fraction
+
+    from calibra.llm.mixing import mix_plan, pfair_slots
+
+    sizes = {f"s{i}": 500 + 997 * i for i in range(19)} | {"big": 80_000}
+    for weights in ({s: n**0.5 for s, n in sizes.items()}, {s: 1.0 for s in sizes} | {"s1": 1e-5}):
+        total = sum(map(Fraction, weights.values()))
+        slots = pfair_slots(weights, sizes)
+        assert len({t for x in slots.values() for t in x}) == sum(sizes.values())
+        for s, x in slots.items():
+            w = Fraction(weights[s]) / total
+            assert len(x) == sizes[s] and all(j / w - 1 < t < (j + 1) / w for j, t in enumerate(x) if j % 97 == 0 or j + 1 == len(x))
+    docs = spark.range(60_000).selectExpr("id as doc_id", "concat('s', cast(sqrt(id) / 20 as int)) as source")
+    plan = mix_plan(docs, {f"s{i}": 1.0 + i / 7 for i in range(12)}).toPandas()
+    total = sum(1.0 + i / 7 for i in range(12))
+    assert len(set(plan.mix_position)) == 60_000
+    for s, n, t in zip(plan.source, plan.block, plan.slot):
+        if s != "s12":
+            w = (1.0 + int(s[1:]) / 7) / total
+            assert n / w - 1.01 < t < (n + 1) / w + 0.01
+
+
+def test_pipeline_returns_the_mix_position(spark):
+    import corpus_pipeline as cp
+    from calibra.llm.mixing import mix_plan
+
+    docs = table(spark, "documents").limit(300).cache()
+    out = cp.tokenize(spark, cp.mix_sources(spark, docs, DATA), DATA).collect()
+    assert {(r.doc_id, r.mix_position) for r in out} == {(r.doc_id, r.mix_position) for r in mix_plan(docs).collect()}
+
+
 def test_mix_places_every_row_once(spark):
     from calibra.llm.mixing import in_mix_order, mix_plan
 
