@@ -35,6 +35,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from calibra.llm.common import UnionFind, batches_of, binary_array, cut_lineage, ranges, run_starts, texts_of
 from calibra.llm.components import connected_components
@@ -354,26 +355,45 @@ def ngram_jaccard_classes(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -
     doc_id are returned as often as they come. A row without doc_id takes part; its class id is
     the smallest doc_id in its class, or null. Other columns are ignored; an empty table gives
     an empty result."""
+    return _classes(docs, k, p, q).select("doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"))
+
+
+def _classes(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
+    """(doc_id, n_shingles, set_key, first) of each row; first is the least (doc_id, set_key) of its class."""
     sizes = cut_lineage(set_sizes(docs, k))
     links = jaccard_links(docs, sizes, k, p, q)
     classes = connected_components(links)
     least = sizes.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"))
     rooted = least.join(classes.select(F.col("node").alias("set_key"), F.col("component").alias("root")), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    per_set = rooted.join(ids, "root").select("set_key", "component_id")
-    return sizes.join(per_set, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    firsts = rooted.groupBy("root").agg(F.min(F.when(F.col("least").isNotNull(), F.struct(F.col("least").alias("doc_id"), "set_key"))).alias("first"))
+    per_set = rooted.join(firsts, "root").select("set_key", "first")
+    return sizes.join(per_set, "set_key", "left").select("doc_id", "n_shingles", "set_key", "first")
+
+
+def with_set_key(docs: DataFrame, k: int) -> DataFrame:
+    """docs and _set, the key of each row's shingle set (null for an empty set)."""
+
+    def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(rows, "text", 16 << 20):
+            keys = pa.array([set_key(s) if len(s) else None for s in shingle_sets(texts_of(batch), k)], pa.int64())
+            yield pa.record_batch([*batch.columns, keys], names=[*batch.schema.names, "_set"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_set", LongType())]))
 
 
 def one_of_each_class(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -> DataFrame:
-    """The document with the smallest doc_id of each class; all columns stay as they are.
+    """The row with the smallest (doc_id, set key) of each class; all columns stay as they are.
 
     Documents without words or without doc_id stay. Of rows that repeat the doc_id and the
-    text of one document one stays."""
-    classes = cut_lineage(ngram_jaccard_classes(docs, k, p, q))
-    losers = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
+    shingles (or the wordless text) of one document one stays. Rows that share a doc_id but
+    not a class are decided one by one."""
+    classes = cut_lineage(_classes(docs, k, p, q))
+    lost = classes.where("doc_id is not null and set_key is not null and (doc_id <> first.doc_id or set_key <> first.set_key)").select("doc_id", "set_key")
     repeated = cut_lineage(classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.dropDuplicates(["doc_id", "text"]))
+        return docs.join(lost.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(lost.select("doc_id").union(repeated).distinct(), "doc_id", "left_anti").select(*docs.columns)
+    some = with_set_key(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns), k)
+    once = some.join(lost.select(F.col("doc_id").alias("_lost"), F.col("set_key").alias("_key")), (F.col("doc_id") == F.col("_lost")) & (F.col("_set") == F.col("_key")), "left_anti")
+    once = once.withColumn("_words", F.when(F.col("_set").isNull(), F.col("text"))).dropDuplicates(["doc_id", "_set", "_words"])
+    return kept.unionByName(once.select(*docs.columns))

@@ -81,6 +81,19 @@ def test_one_of_each_class_keeps_columns(docs):
     assert kept.columns == docs.columns and len([i for i in ids if i == 307]) <= 1 and {300, 301, 302} <= set(ids) and len(ids) < docs.count()
 
 
+def test_rows_of_a_repeated_id_are_decided_one_by_one(docs):
+    from calibra.llm.ngram_join import one_of_each_class
+
+    unique = max((r.text for r in docs.where("doc_id = 306").collect()), key=len)
+    kept = one_of_each_class(docs).collect()
+    assert [r.doc_id for r in kept if r.text == unique] == [306] and len([r for r in kept if r.doc_id == 306]) == 1
+    # the row that a class is known by shares its id with a loser of another class
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    rows = [(1, texts[0]), (2, texts[0]), (2, texts[1]), (3, texts[1]), (4, texts[2])]
+    few = docs.sparkSession.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.text[0]) for r in one_of_each_class(few).collect()) == [(1, "a"), (2, "b"), (4, "c")]
+
+
 def test_steps_round_trip():
     import numpy as np
 
