@@ -53,6 +53,10 @@ CLOSE = 3.0
 _SPACED = re.compile(r"(?<!\w)(?:[^\W_][ ._*-]{1,2}){3,}[^\W_](?!\w)")
 _LONG_RUN = re.compile(r"([^\W\d_])\1\1")
 _RUNS = re.compile(r"(.)\1*", re.S)
+#: More than three of one character are read as three.
+_LONGER_RUN = re.compile(r"(.)\1{3,}", re.S)
+#: Inner signs that no letter is written with, and those that some letter may be.
+_PARTS = (re.compile(r"[^\w@$!|+(<€£¡*#]+|_+"), re.compile(r"[^\w@$!€£¡]+|_+"))
 
 
 def char_class(c: str) -> int:
@@ -93,6 +97,20 @@ def char_model(docs: DataFrame) -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
+def _joined(linked: tuple) -> str:
+    letters = []
+    while linked:
+        linked, last = linked
+        letters.append(last)
+    return "".join(reversed(letters))
+
+
+def _lettered(token: str) -> bool:
+    """Whether a token has enough letters to be a disguised word."""
+    letters = sum(c.isalpha() for c in token)
+    return letters >= 2 and letters * 3 >= len(token)
+
+
 class Restorer:
     """Reads disguised tokens under a character model."""
 
@@ -111,9 +129,10 @@ class Restorer:
                 segments.append([(x * k, COST_SIGN * k) for x in LEET[c] for k in times] + [("", COST_DROP)])
             else:
                 segments.append([("", 0.0)])
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # readings are linked backwards, so a token costs time in proportion to its length
+        best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for options in segments:
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+            after: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (cost, text) in best.items():
                 for letters, extra in options:
                     total, x, y = cost + extra, a, b
@@ -122,24 +141,24 @@ class Restorer:
                         total -= float(self.model[x, y, z])
                         x, y = y, z
                     if (x, y) not in after or total < after[x, y][0]:
-                        after[x, y] = (total, text + letters)
+                        after[x, y] = (total, (text, letters) if letters else text)
             best = after
-        ended = sorted((cost - float(self.model[a, b, 0]), text) for (a, b), (cost, text) in best.items())
+        ended = sorted((cost - float(self.model[a, b, 0]), _joined(text)) for (a, b), (cost, text) in best.items())
         return tuple(text for cost, text in ended[:3] if text and cost <= ended[0][0] + CLOSE)
 
     def readings(self, raw: str) -> tuple[str, ...]:
-        """The plain token, and what it is read as if it looks disguised."""
+        """The plain token, and what it and its parts between signs are read as if it looks disguised."""
         plain = raw.strip(_EDGES + "$@")
         if plain.isalpha() and not _LONG_RUN.search(plain) and len(plain) == len(raw.strip(_EDGES)):
             return (plain,)
         core = raw.strip(".,;:?'\"%&~`=")
         core = re.sub(r"([$@#*!])\1{2,}$", "", core)
-        letters = sum(c.isalpha() for c in core)
-        if letters < 2 or len(core) > 40 or letters * 3 < len(core):
-            return (plain,)
+        core = _LONGER_RUN.sub(r"\1\1\1", core)
         if core == plain and plain.isalpha() and not _LONG_RUN.search(plain):
             return (plain,)
-        return tuple(dict.fromkeys((plain, *self.decode(core))))
+        whole = self.decode(core) if _lettered(core) else ()
+        parts = dict.fromkeys(x for signs in _PARTS for x in signs.split(core) if x != core and _lettered(x))
+        return tuple(dict.fromkeys((plain, *whole, *(word for x in parts for word in self.decode(x)))))
 
     def spaced(self, text: str) -> list[str]:
         """Words whose letters stand one by one."""

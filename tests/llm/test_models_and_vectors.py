@@ -166,6 +166,16 @@ def test_disguised_words_are_read(spark):
     assert "stupid" in r.spaced("so s t u p i d that") and r.readings("the,") == ("the",) and r.readings("of%%%") == ("of",)
 
 
+def test_long_disguised_tokens_are_read(spark):
+    from calibra.llm.toxicity import Restorer, char_model
+
+    r = Restorer(char_model(table(spark, "documents")))
+    assert "stupid" in r.readings("stu" + "u" * 40 + "pid") and "pathetic" in r.readings("p@" + "@" * 30 + "thet" + "1" * 30 + "c")
+    joined = r.readings("stup1d-m0r0n/tr@sh_p@thet1c-stuuuupid-m0r0n-tr@sh")
+    assert {"stupid", "moron", "trash", "pathetic"} <= set(joined)
+    assert {"stupid", "moron"} <= set(r.readings("stup1d+m0r0n"))
+
+
 def test_languages_on_held_out_rows(spark):
     from calibra.llm.language import language_predictions
 
