@@ -1,7 +1,7 @@
 """BPE encoding and decoding with a pair occurrence index.
 
 A task takes a batch of texts, splits them into pieces and lists the different new pieces of
-the batch one after the other as one symbol array with links to the left and right
+the batch (told apart by their bytes) one after the other as one symbol array with links to the left and right
 neighbour. An index maps each mergeable pair, by its rank, to all its positions in that
 array. Ranks are applied in ascending order: all occurrences of the lowest active rank are
 merged at once, and the pairs that arise left and right of them are added to the lists of
@@ -13,6 +13,7 @@ Split pattern, byte alphabet and special tokens are those of the tokenizer file.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calibra.llm.common import batches_of, ranges, run_starts, texts_of
-from calibra.llm.shingles import span_hashes
+from calibra.llm.shingles import eights, load, mix
 
 
 def default_tokenizer() -> str:
@@ -47,10 +48,16 @@ def byte_alphabet() -> list[str]:
 
 
 #: Pieces whose ids a worker keeps from batch to batch; beyond them it starts afresh.
-KNOWN = 1_000_000
+KNOWN = 250_000
+#: Bytes of text encoded together, characters split at once, tokens decoded at once.
+SLICE, SPLIT, DECODE = 4 << 20, 1 << 20, 1 << 18
+#: Pieces of so many bytes are kept as two numbers; longer ones are told apart one by one.
+SHORT = 16
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
+_CUT = re.compile("(?<=[a-z]) (?=[a-z])")
 
 
+@functools.lru_cache(maxsize=1)
 def char_kinds() -> np.ndarray:
     """Class of every code point under the split pattern."""
     kinds = np.array([{"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(0x110000)], np.uint8)
@@ -85,10 +92,15 @@ class PairIndexBpe:
         self.token_bytes = np.frombuffer(b"".join(parts.get(i, b"") for i in range(size)), np.uint8)
         self.token_at, self.token_len = np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths
         self.kinds = char_kinds()
-        self.known = np.zeros(0, np.uint64)
-        self.known_at = self.known_len = self.known_ids = np.zeros(0, np.int64)
+        self._forget()
         self.special_splitter = re.compile("(" + "|".join(re.escape(t) for t in sorted(special, key=len, reverse=True)) + ")") if special else None
 
+    def _forget(self) -> None:
+        """Empty the pieces kept: key, first and second eight bytes, length; place and number of ids."""
+        self.known = np.zeros((3, 0), np.uint64)
+        self.known_bytes = self.known_at = self.known_len = np.zeros(0, np.int64)
+        self.known_ids = np.zeros(0, np.int32)
+
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair; -1 where there is none."""
         key = left * self.base + right
@@ -97,6 +109,8 @@ class PairIndexBpe:
 
     def encode_spans(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces one after the other, start of each piece and the end)."""
+        if not len(starts):
+            return np.zeros(0, np.int64), np.zeros(1, np.int64)
         sym = self.of_byte[data[ranges(starts, lengths)]]
         n = len(sym)
         piece = np.repeat(np.arange(len(starts)), lengths)
@@ -199,39 +213,89 @@ class PairIndexBpe:
         counts = np.diff(np.searchsorted(starts, edges))
         return np.frombuffer("".join(texts).encode(), np.uint8), at[starts], counts
 
+    def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes of all texts and 8 spare ones, start and length of each piece, pieces of each text).
+
+        Texts are split in groups; a text of more than SPLIT characters is cut before a space
+        between two letters a-z, where a piece always begins."""
+        parts, owner = [], []
+        for i, text in enumerate(texts):
+            at = 0
+            while len(text) - at > SPLIT and (m := _CUT.search(text, at + SPLIT)):
+                parts.append(text[at : m.start()])
+                owner.append(i)
+                at = m.start()
+            parts.append(text[at:])
+            owner.append(i)
+        data, starts, per, size, at = [], [], np.zeros(len(texts), np.int64), 0, 0
+        while at < len(parts):
+            to, total = at + 1, len(parts[at])
+            while to < len(parts) and total + len(parts[to]) <= SPLIT:
+                total += len(parts[to])
+                to += 1
+            own, begin, counts = self.split(parts[at:to])
+            data.append(own)
+            starts.append(begin + size)
+            np.add.at(per, owner[at:to], counts)
+            size, at = size + len(own), to
+        data.append(np.zeros(8, np.uint8))
+        start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        return np.concatenate(data), start, np.diff(np.concatenate([start, [size]])), per
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text."""
         if self.special_splitter and any(t in text for t in self.special for text in texts):
             return self._with_specials(texts)
-        data, starts, counts = self.split(texts)
-        if not len(starts):
-            return [np.zeros(0, np.int64) for _ in texts]
-        lengths = np.diff(np.concatenate([starts, [len(data)]]))
-        keys, first, number = np.unique(span_hashes(data, starts, lengths), return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.known, keys), max(0, len(self.known) - 1))
-        fresh = self.known[at] != keys if len(self.known) else np.ones(len(keys), bool)
-        if fresh.any():
-            if len(self.known) + int(fresh.sum()) > KNOWN:
-                self.known, self.known_at, self.known_len, self.known_ids = (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
-                fresh = np.ones(len(keys), bool)
-            flat, cuts = self.encode_spans(data, starts[first[fresh]], lengths[first[fresh]])
-            order = np.argsort(both := np.concatenate([self.known, keys[fresh]]), kind="stable")
-            self.known_at = np.concatenate([self.known_at, cuts[:-1] + len(self.known_ids)])[order]
-            self.known_len = np.concatenate([self.known_len, np.diff(cuts)])[order]
-            self.known, self.known_ids = both[order], np.concatenate([self.known_ids, flat])
-            at = np.searchsorted(self.known, keys)
-        at = at[number]
-        each = self.known_len[at]
-        ids = self.known_ids[ranges(self.known_at[at], each)]
-        pieces = np.concatenate([[0], np.cumsum(counts)])
-        tokens = np.concatenate([[0], np.cumsum(each)])[pieces]
+        data, starts, lengths, per = self.pieces(texts)
+        n = len(starts)
+        if not n:
+            return [np.zeros(0, np.int32) for _ in texts]
+        # short pieces are equal if both halves and the length are; the key only finds them
+        short = np.flatnonzero(lengths <= SHORT)
+        size, rows = lengths[short], eights(data)
+        halves = np.stack([load(rows, starts[short], size), load(rows, np.minimum(starts[short] + 8, len(data) - 8), size - 8)])
+        with np.errstate(over="ignore"):
+            key = mix(mix(halves[0] + size.astype(np.uint64)) + halves[1])
+        keys, first, number = np.unique(key, return_index=True, return_inverse=True)
+        same = (halves == halves[:, first[number]]).all(0) & (size == size[first[number]])
+        at = np.minimum(np.searchsorted(self.known[0], keys), max(0, self.known.shape[1] - 1))
+        hit = np.zeros(len(keys), bool)
+        if self.known.shape[1]:
+            hit = (self.known[:, at] == np.stack([keys, *halves[:, first]])).all(0) & (self.known_bytes[at] == size[first])
+        fresh = np.flatnonzero(~hit)
+        # all others, among them pieces whose key is another one's, by their bytes
+        others: dict[bytes, tuple[int, int]] = {}
+        rest = np.concatenate([np.flatnonzero(lengths > SHORT), short[~same]])
+        of_rest = [others.setdefault(data[starts[i] : starts[i] + lengths[i]].tobytes(), (len(others), i))[0] for i in rest.tolist()]
+        spans = np.concatenate([short[first[fresh]], np.array([i for _, i in others.values()], np.int64)])
+        flat, cuts = self.encode_spans(data, starts[spans], lengths[spans])
+        flat, shift = flat.astype(np.int32), len(self.known_ids)
+        ids_of = np.concatenate([self.known_ids, flat])
+        begin, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        own_at, own_len = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        own_at[hit], own_len[hit] = self.known_at[at[hit]], self.known_len[at[hit]]
+        own_at[fresh], own_len[fresh] = cuts[: len(fresh)] + shift, np.diff(cuts[: len(fresh) + 1])
+        begin[short], count[short] = own_at[number], own_len[number]
+        begin[rest], count[rest] = (cuts[:-1] + shift)[len(fresh) :][of_rest], np.diff(cuts)[len(fresh) :][of_rest]
+        ids = ids_of[ranges(begin, count)]
+        if self.known.shape[1] + len(fresh) > KNOWN:
+            self._forget()
+        else:
+            self._keep(np.stack([keys[fresh], *halves[:, first[fresh]]]), size[first[fresh]], own_at[fresh], own_len[fresh], ids_of[: shift + int(cuts[len(fresh)])])
+        tokens = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(per)])]
         return [ids[a:b] for a, b in zip(tokens[:-1].tolist(), tokens[1:].tolist())]
 
+    def _keep(self, key: np.ndarray, size: np.ndarray, at: np.ndarray, length: np.ndarray, ids: np.ndarray) -> None:
+        """Add new pieces to those kept, in the order of their keys."""
+        order = np.argsort(np.concatenate([self.known[0], key[0]]), kind="stable")
+        self.known, self.known_ids = np.hstack([self.known, key])[:, order], ids
+        self.known_bytes, self.known_at, self.known_len = (np.concatenate(x)[order] for x in ((self.known_bytes, size), (self.known_at, at), (self.known_len, length)))
+
     def _with_specials(self, texts: list[str]) -> list[np.ndarray]:
         """The same for texts that hold special tokens: these are cut out first."""
         parts = [self.special_splitter.split(t) for t in texts]
         plain = iter(self.encode_batch_plain([x for p in parts for x in p if x not in self.special]))
-        return [np.concatenate([np.array([self.special[x]], np.int64) if x in self.special else next(plain) for x in p]) for p in parts]
+        return [np.concatenate([np.array([self.special[x]], np.int32) if x in self.special else next(plain) for x in p]) for p in parts]
 
     def encode_batch_plain(self, texts: list[str]) -> list[np.ndarray]:
         held, self.special_splitter = self.special_splitter, None
@@ -242,7 +306,14 @@ class PairIndexBpe:
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of a token sequence; bytes that are no UTF-8 become U+FFFD."""
-        return self.token_bytes[ranges(self.token_at[ids], self.token_len[ids])].tobytes().decode("utf-8", "replace")
+        parts = (ids[i : i + DECODE] for i in range(0, len(ids), DECODE))
+        return b"".join(self.token_bytes[ranges(self.token_at[x], self.token_len[x])].tobytes() for x in parts).decode("utf-8", "replace")
+
+
+@functools.lru_cache(maxsize=1)
+def _bpe(path: str) -> PairIndexBpe:
+    """The encoder of a worker process."""
+    return PairIndexBpe(path)
 
 
 def bpe_encode(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -250,14 +321,13 @@ def bpe_encode(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = T
 
     A null or empty text has no tokens and decodes to the empty text. Rows come out as they
     go in, repeated ones too; doc_id may be null; other columns are ignored. ids and decoded
-    are left out unless with_ids; the columns in keep are passed on at the end. tokenizer is the path of a byte-level BPE file that every
-    executor has."""
+    are left out unless with_ids; the columns in keep are passed on at the end. tokenizer is the
+    path of a byte-level BPE file that every executor has."""
     path = tokenizer or default_tokenizer()
-    held: dict[str, PairIndexBpe] = {}
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = held.setdefault(path, PairIndexBpe(path)) if path not in held else held[path]
-        for batch in batches_of(rows, "text", 8 << 20):
+        bpe = _bpe(path)
+        for batch in batches_of(rows, "text", SLICE):
             out: dict[str, list] = {c: [] for c in ("n", "ids", "ids_sha", "text", "text_sha")}
             for ids in bpe.encode_batch(texts_of(batch)):
                 text = bpe.decode(ids)
@@ -283,7 +353,7 @@ def bpe_decode(tokens: DataFrame, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or default_tokenizer()
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = PairIndexBpe(path)
+        bpe = _bpe(path)
         for batch in rows:
             texts = [bpe.decode(np.asarray(ids or [], np.int64)) for ids in batch.column("ids").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -14,21 +15,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
+def _on_one_machine(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for tables between jobs: the session's spark.checkpoint.dir.
 
-    A folder of our own is set only where the session names none (tests, notebooks)."""
-    spark = df.sparkSession
+    A folder of our own is made only where none is named and all runs on one machine (tests,
+    notebooks); on a cluster that is an error."""
     sc = spark.sparkContext
-    if not sc._conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
+    if named := sc._conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if not _on_one_machine(spark):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="calibra-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder for tables between jobs: the session's spark.checkpoint.dir, else one of our own (tests)."""
-    named = spark.sparkContext._conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else tempfile.mkdtemp(prefix="calibra-shared-")
+def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like those wanted that df doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while (name := "_" + name).lower() in taken:
+            pass
+        out.append(name)
+        taken.add(name.lower())
+    return out
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
@@ -86,12 +106,12 @@ class UnionFind:
 def batches_of(rows: Iterable[pa.RecordBatch], column: str, most_bytes: int) -> Iterable[pa.RecordBatch]:
     """The same rows in slices whose texts hold about most_bytes at most (one row at least)."""
     for batch in rows:
-        sizes = np.array([len(x or b"") for x in batch.column(column).cast(pa.binary()).to_pylist()], np.int64) if batch.num_rows else np.zeros(0, np.int64)
-        begin, total = 0, 0
-        for i, size in enumerate(sizes):
-            if total and total + size > most_bytes:
-                yield batch.slice(begin, i - begin)
-                begin, total = i, 0
-            total += int(size)
-        if begin < batch.num_rows:
-            yield batch.slice(begin)
+        if not batch.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends, begin = np.cumsum(sizes, dtype=np.int64), 0
+        while begin < batch.num_rows:
+            before = int(ends[begin - 1]) if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
+            yield batch.slice(begin, stop - begin)
+            begin = stop

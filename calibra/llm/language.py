@@ -90,7 +90,7 @@ def fit_languages(docs: DataFrame, mod: int, rest: int, n_landmarks: int = LANDM
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zz, zy = np.zeros((width, width)), np.zeros((width, len(languages)))
-        for batch in batches_of(batches, "text", 8 << 20):
+        for batch in batches_of(batches, "text", 2 << 20):
             z = net.map(texts_of(batch))
             y = -np.ones((len(z), len(languages)))
             for i, lang in enumerate(batch.column("lang").to_pylist()):
@@ -116,7 +116,7 @@ def language_predictions(docs: DataFrame, mod: int = 3, rest: int = 1, n_landmar
     fitted = fit_languages(docs, mod, rest, n_landmarks)
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(rows, "text", 8 << 20):
+        for batch in batches_of(rows, "text", 2 << 20):
             texts = texts_of(batch)
             lettered = [any(map(str.isalpha, t)) for t in texts]
             lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))

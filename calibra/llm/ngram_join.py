@@ -6,7 +6,9 @@ to the most frequent, T-1 of them can be set aside as long lists and every partn
 one of the remaining short lists. Shingles that no other text has come first and have no
 list, so most texts drop out as soon as their shared shingles are counted.
 
-1. One pass hashes the texts; equal sets become one set, whose key is a 64-bit set hash.
+1. One pass hashes the texts; equal sets become one set, whose key is 64 bits of a digest of
+   the set. 64 further bits are compared wherever keys are equal; should two different sets
+   ever have one key, the keys are dealt anew with another seed.
 2. A second pass packs (shingle, set) entries by shingle range into byte rows. A range task
    sorts its entries and returns to each set the shingles that others have too, with their
    frequency. A shingle found in many sets of one flush is not sent to its range: its
@@ -15,15 +17,16 @@ list, so most texts drop out as soon as their shared shingles are counted.
 3. Each set that still can link lists its short shingles. Each short list names one leader,
    the set whose shingles are the most shared. A set that links with its leader is absorbed.
    Any two linked sets share a short list, hence a leader.
-4. Around a leader only pairs with an unabsorbed set are still open. The unabsorbed sets are
-   sent as queries to shards of bounded size of the leader's sets. A shard merges the short
+4. Around a leader only pairs with an unabsorbed set are still open. Blocks of the unabsorbed
+   sets are sent as queries to shards of the leader's sets, both of bounded size. A shard merges the short
    lists of a query, keeps sets that occur T-L times, and probes the L long lists for these by
    binary search. Links between sets that the shard has already connected aren't repeated.
 5. Connected components of the links.
 
 The links found connect exactly what all links connect. Set sizes and overlaps come from
-hashes: two different shingles are taken as one with probability 2^-64 within a text and 2^-56
-between texts.
+hashes that mix eight bytes a step (not a polynomial, so regular texts don't collide either):
+two different shingles are taken as one with probability 2^-64 within a text and 2^-56 between
+texts; two different sets are taken as one with probability 2^-128.
 """
 
 from __future__ import annotations
@@ -37,21 +40,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from calibra.llm.common import UnionFind, batches_of, binary_array, cut_lineage, ranges, run_starts, texts_of
+from calibra.llm.common import UnionFind, batches_of, binary_array, cut_lineage, fresh_names, ranges, run_starts, texts_of
 from calibra.llm.components import connected_components
-from calibra.llm.shingles import mix, set_key, shingle_sets
+from calibra.llm.shingles import mix, set_key, set_keys, shingle_sets
 
 #: Entries that a map task packs before it sends rows; fixes the memory of a task.
 FLUSH = 1_000_000
+#: Bytes of text that a task hashes at once.
+SLICE = 4 << 20
 #: Entries that a range task should get.
 RANGE = 3_000_000
 #: A shingle is frequent if that many of a flush's sets have it, and that share of them.
 FREQUENT, FREQUENT_SHARE = 64, 0.01
-#: Sets that one shard of a leader holds.
-SHARD = 512
+#: Sets that one shard of a leader or one block of queries holds, and their shingles.
+SHARD, SHARD_SHINGLES = 256, 1_000_000
 FREQUENT_DF = np.int32(1 << 30)
 
-_SIZES = "doc_id long, n_shingles long, set_key long"
+_SIZES = "doc_id long, n_shingles long, set_key long, set_check long"
 _PACKED = "key long, docs binary, sizes binary, toks binary, refs binary, marks binary"
 _SHARED = "set_key long, n long, toks binary, dfs binary"
 
@@ -82,21 +87,33 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([first, wide.reshape(-1).view("<u8")]), dtype=np.uint64)
 
 
-def set_sizes(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key) of each row; set_key is null for an empty set."""
+def set_sizes(docs: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """(doc_id, n_shingles, set_key, set_check) of each row; the keys are null for an empty set."""
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(rows, "text", 16 << 20):
+        for batch in batches_of(rows, "text", SLICE):
             sets = shingle_sets(texts_of(batch), k)
+            keys = [set_keys(s, seed) if len(s) else (None, None) for s in sets]
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())],
-                names=["doc_id", "n_shingles", "set_key"],
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[i] for x in keys], pa.int64()) for i in (0, 1))],
+                names=["doc_id", "n_shingles", "set_key", "set_check"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SIZES)
 
 
-def _packed(docs: DataFrame, k: int, n_ranges: int) -> DataFrame:
+def keyed_sets(docs: DataFrame, k: int) -> tuple[DataFrame, int]:
+    """(materialised set_sizes, seed) under a seed that gives different sets different keys."""
+    seed = 0
+    while True:
+        sizes = cut_lineage(set_sizes(docs, k, seed))
+        clashes = sizes.where("set_key is not null").groupBy("set_key").agg(F.min("set_check").alias("lo"), F.max("set_check").alias("hi")).where("lo <> hi")
+        if clashes.isEmpty():
+            return sizes, seed
+        seed += 1
+
+
+def _packed(docs: DataFrame, k: int, n_ranges: int, seed: int) -> DataFrame:
     """Entries (shingle, set) packed by shingle range; keys from n_ranges on hold echoes.
 
     A row has the keys and sizes of its sets, a token (the upper 56 bits of its hash) and a set
@@ -143,9 +160,9 @@ def _packed(docs: DataFrame, k: int, n_ranges: int) -> DataFrame:
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sizes, sets, held, total = [], [], [], set(), 0
-        for batch in batches_of(rows, "text", 16 << 20):
+        for batch in batches_of(rows, "text", SLICE):
             for s in shingle_sets(texts_of(batch), k):
-                if len(s) and (key := set_key(s)) not in held:
+                if len(s) and (key := set_key(s, seed)) not in held:
                     if total + len(s) > FLUSH or len(sets) == 65_000:
                         yield from flush(keys, sizes, sets)
                         keys, sizes, sets, held, total = [], [], [], set(), 0
@@ -249,7 +266,7 @@ def _with_leader(p: int, q: int):
                     continue
                 both = len(np.intersect1d(np.frombuffer(toks, np.uint64), np.frombuffer(leads, np.uint64), assume_unique=True))
                 linked.append(q * both >= p * (n + m - both))
-            yield pa.record_batch([batch.column("set_key"), batch.column("leader"), pa.array(linked, pa.bool_())], names=["set_key", "leader", "linked"])
+            yield pa.record_batch([batch.column("set_key"), batch.column("leader"), batch.column("n"), pa.array(linked, pa.bool_())], names=["set_key", "leader", "n", "linked"])
 
     return run
 
@@ -289,8 +306,8 @@ def divide_skip(query: np.ndarray, tokens: np.ndarray, owner: np.ndarray, sizes:
 
 def _links_of_shard(p: int, q: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        held = rows[~rows["asks"]].drop_duplicates("set_key").sort_values("set_key")
-        asks = rows[rows["asks"]].drop_duplicates("set_key")
+        held = rows[~rows["asking"]].drop_duplicates("set_key").sort_values("set_key")
+        asks = rows[rows["asking"]].drop_duplicates("set_key")
         if held.empty or asks.empty:
             return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
         parts = [np.frombuffer(t, np.uint64) for t in held["toks"]]
@@ -316,13 +333,13 @@ def _links_of_shard(p: int, q: int):
     return run
 
 
-def jaccard_links(docs: DataFrame, sizes: DataFrame, k: int, p: int, q: int) -> DataFrame:
+def jaccard_links(docs: DataFrame, sizes: DataFrame, k: int, p: int, q: int, seed: int = 0) -> DataFrame:
     """Links (a, b) between set keys that connect what all links of Jaccard >= p/q connect.
 
-    sizes is the (materialised) result of set_sizes for docs."""
+    sizes is the (materialised) result of set_sizes for docs under this seed."""
     total = sizes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     n_ranges = max(16, -(-int(total) // RANGE))
-    shared = _packed(docs, k, n_ranges).groupBy("key").applyInArrow(_shared_of_range(n_ranges), _SHARED)
+    shared = _packed(docs, k, n_ranges, seed).groupBy("key").applyInArrow(_shared_of_range(n_ranges), _SHARED)
     gathered = (
         shared.groupBy("set_key", "n").agg(F.collect_list("toks").alias("toks"), F.collect_list("dfs").alias("dfs"), F.sum(F.octet_length("toks")).alias("bytes"))
         .where(F.col("bytes") / 8 * q >= F.col("n") * p)
@@ -335,14 +352,19 @@ def jaccard_links(docs: DataFrame, sizes: DataFrame, k: int, p: int, q: int) ->
     stars = entries.join(lists, "tok").select("set_key", "leader").distinct()
     members = stars.where("set_key <> leader").join(live.select("set_key", "n", "toks"), "set_key")
     leaders = live.select(F.col("set_key").alias("leader"), F.col("n").alias("lead_n"), F.col("toks").alias("lead_toks"))
-    verdict = cut_lineage(members.join(leaders, "leader").mapInArrow(_with_leader(p, q), "set_key long, leader long, linked boolean"))
+    verdict = cut_lineage(members.join(leaders, "leader").mapInArrow(_with_leader(p, q), "set_key long, leader long, n long, linked boolean"))
 
     # pairs with a set that its leader doesn't link with are still open
-    open_stars = verdict.groupBy("leader").agg(F.count("*").alias("size"), F.sum(F.when(F.col("linked"), 0).otherwise(1)).alias("loose")).where("loose > 0 and size > 1")
-    around = verdict.join(open_stars, "leader").select("leader", "set_key", "linked", F.ceil(F.col("size") / SHARD).cast("long").alias("shards"))
-    held = around.select("leader", "set_key", F.col("linked").alias("absorbed"), F.lit(False).alias("asks"), F.pmod(F.xxhash64("set_key"), "shards").alias("shard"))
-    asks = around.where("not linked").select("leader", "set_key", F.lit(False).alias("absorbed"), F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
-    found = held.union(asks).join(live.select("set_key", "n", "toks"), "set_key").groupBy("leader", "shard").applyInPandas(_links_of_shard(p, q), "a long, b long")
+    blocks = lambda sets, shingles: F.ceil(F.greatest(sets / SHARD, shingles / SHARD_SHINGLES)).cast("long")
+    loose, zero = ~F.col("linked"), F.lit(0).cast("long")
+    open_stars = verdict.groupBy("leader").agg(
+        blocks(F.count("*"), F.sum("n")).alias("shards"), blocks(F.count_if(loose), F.sum(F.when(loose, F.col("n")).otherwise(0))).alias("asks"), F.count("*").alias("size")
+    ).where("asks > 0 and size > 1")
+    around = verdict.join(open_stars, "leader").withColumn("hash", F.xxhash64("set_key"))
+    number = lambda n: F.explode(F.sequence(zero, F.col(n) - 1))
+    held = around.select("leader", "set_key", F.col("linked").alias("absorbed"), F.lit(False).alias("asking"), F.pmod("hash", "shards").alias("shard"), number("asks").alias("part"))
+    asks = around.where(loose).select("leader", "set_key", F.lit(False).alias("absorbed"), F.lit(True).alias("asking"), number("shards").alias("shard"), F.pmod("hash", "asks").alias("part"))
+    found = held.union(asks).join(live.select("set_key", "n", "toks"), "set_key").groupBy("leader", "shard", "part").applyInPandas(_links_of_shard(p, q), "a long, b long")
     return verdict.where("linked").select(F.col("set_key").alias("a"), F.col("leader").alias("b")).union(found)
 
 
@@ -359,26 +381,27 @@ def ngram_jaccard_classes(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -
 
 
 def _classes(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, first) of each row; first is the least (doc_id, set_key) of its class."""
-    sizes = cut_lineage(set_sizes(docs, k))
-    links = jaccard_links(docs, sizes, k, p, q)
+    """(doc_id, n_shingles, set_key, set_check, first) of each row; first is the least (doc_id, set_key) of its class."""
+    sizes, seed = keyed_sets(docs, k)
+    links = jaccard_links(docs, sizes, k, p, q, seed)
     classes = connected_components(links)
     least = sizes.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"))
     rooted = least.join(classes.select(F.col("node").alias("set_key"), F.col("component").alias("root")), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     firsts = rooted.groupBy("root").agg(F.min(F.when(F.col("least").isNotNull(), F.struct(F.col("least").alias("doc_id"), "set_key"))).alias("first"))
     per_set = rooted.join(firsts, "root").select("set_key", "first")
-    return sizes.join(per_set, "set_key", "left").select("doc_id", "n_shingles", "set_key", "first")
+    return sizes.join(per_set, "set_key", "left").select("doc_id", "n_shingles", "set_key", "set_check", "first")
 
 
-def with_set_key(docs: DataFrame, k: int) -> DataFrame:
-    """docs and _set, the key of each row's shingle set (null for an empty set)."""
+def with_set_check(docs: DataFrame, k: int, name: str) -> DataFrame:
+    """docs and a column of that name, the seedless key of each row's shingle set (null for an empty set)."""
+    at = docs.columns.index("text")
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(rows, "text", 16 << 20):
-            keys = pa.array([set_key(s) if len(s) else None for s in shingle_sets(texts_of(batch), k)], pa.int64())
-            yield pa.record_batch([*batch.columns, keys], names=[*batch.schema.names, "_set"])
+        for batch in batches_of(rows, "text", SLICE):
+            sets = shingle_sets([t or "" for t in batch.column(at).to_pylist()], k)
+            yield pa.record_batch([*batch.columns, pa.array([set_keys(s)[1] if len(s) else None for s in sets], pa.int64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_set", LongType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def one_of_each_class(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -> DataFrame:
@@ -386,14 +409,16 @@ def one_of_each_class(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -> Da
 
     Documents without words or without doc_id stay. Of rows that repeat the doc_id and the
     shingles (or the wordless text) of one document one stays. Rows that share a doc_id but
-    not a class are decided one by one."""
+    not a class are decided one by one. Other columns may have any name but doc_id and text;
+    an empty table gives an empty result."""
     classes = cut_lineage(_classes(docs, k, p, q))
-    lost = classes.where("doc_id is not null and set_key is not null and (doc_id <> first.doc_id or set_key <> first.set_key)").select("doc_id", "set_key")
+    lost = classes.where("doc_id is not null and set_key is not null and (doc_id <> first.doc_id or set_key <> first.set_key)").select("doc_id", "set_check")
     repeated = cut_lineage(classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if repeated.isEmpty():
         return docs.join(lost.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    set_, words = fresh_names(docs, "set", "words")
     kept = docs.join(lost.select("doc_id").union(repeated).distinct(), "doc_id", "left_anti").select(*docs.columns)
-    some = with_set_key(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns), k)
-    once = some.join(lost.select(F.col("doc_id").alias("_lost"), F.col("set_key").alias("_key")), (F.col("doc_id") == F.col("_lost")) & (F.col("_set") == F.col("_key")), "left_anti")
-    once = once.withColumn("_words", F.when(F.col("_set").isNull(), F.col("text"))).dropDuplicates(["doc_id", "_set", "_words"])
+    some = with_set_check(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns), k, set_)
+    once = some.join(lost.select("doc_id", F.col("set_check").alias(set_)), ["doc_id", set_], "left_anti")
+    once = once.withColumn(words, F.when(F.col(set_).isNull(), F.col("text"))).dropDuplicates(["doc_id", set_, words])
     return kept.unionByName(once.select(*docs.columns))

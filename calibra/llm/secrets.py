@@ -180,7 +180,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = SecretScanner(rules)
         kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])
-        for batch in batches_of(rows, "text", 8 << 20):
+        for batch in batches_of(rows, "text", 2 << 20):
             found = [[{"kind": rules[r].kind, "start": s, "end": e, "base": rules[r].base} for s, r, e in spans] for spans in scanner.scan(texts_of(batch))]
             yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.list_(kind))], names=["doc_id", "spans"])
 
@@ -207,7 +207,7 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str =
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = SecretScanner(rules)
-        for batch in batches_of(rows, text, 8 << 20):
+        for batch in batches_of(rows, text, 2 << 20):
             old = batch.column(at).to_pylist()
             spans = scanner.scan([t or "" for t in old])
             new = [redact(t, s) if s else t for t, s in zip(old, spans)]

@@ -1,18 +1,26 @@
 """Word-shingle sets of texts as sorted 64-bit hashes, computed on the UTF-8 bytes of a batch.
 
 Words are runs of bytes other than space and 0x09-0x0D after A-Z became a-z; both sets are
-ASCII, so working on bytes is the same as working on code points. A word's hash is a
-polynomial over its bytes (difference of prefix sums, divided by the power of its start)
-mixed by a 64-bit finaliser; a shingle's hash chains the hashes of its words.
+ASCII, so working on bytes is the same as working on code points. A word's hash takes its bytes
+by eights: each step adds the next eight to the state and mixes it by a 64-bit bijection, so
+words of one length up to eight bytes never collide and longer ones collide by chance only,
+however regular they are. Words over LONG bytes are hashed by BLAKE2. A shingle's hash chains
+the hashes of its words in the same way.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD1342543DE82EF95)
 _PIECE = 1 << 21
+#: Bytes of a word that are hashed step by step for all words of a batch at once.
+LONG = 64
+#: Mask of the first n bytes of eight.
+_FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -24,37 +32,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
+def eights(b: np.ndarray) -> np.ndarray:
+    """A view of a byte buffer whose row i is bytes i to i+8; the buffer must end with 8 spare bytes."""
+    return np.lib.stride_tricks.as_strided(b, (max(0, len(b) - 7), 8), (1, 1), writeable=False)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverse
-    if len(_powers) < n:
-        with np.errstate(over="ignore"):
-            _powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE, np.uint64)]), dtype=np.uint64)
-            _inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64)]), dtype=np.uint64)
-    return _powers, _inverse
+def load(rows: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Up to eight bytes from each position on as a number; bytes past a length are zero."""
+    return rows[at].view(np.uint64).ravel() & _FIRST[np.clip(lengths, 0, 8)]
 
 
 def word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start byte, hash) of each word of a byte buffer."""
-    b = buf.copy()
-    upper = (b >= 65) & (b <= 90)
-    b[upper] += 32
+    b = np.concatenate([buf, np.full(8, 32, np.uint8)])
+    b[(b >= 65) & (b <= 90)] += 32
     solid = ~((b == 32) | ((b >= 9) & (b <= 13)))
-    edge = np.diff(np.concatenate([[0], solid.view(np.int8), [0]]))
+    edge = np.diff(np.concatenate([[False], solid]).view(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     return starts, span_hashes(b, starts, ends - starts)
 
 
 def span_hashes(b: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Hash of each span of a byte buffer."""
-    powers, inverse = _power_tables(len(b) + 1)
+    """Hash of each span of a byte buffer that ends with 8 spare bytes."""
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * powers[: len(b)], dtype=np.uint64)])
-        h = (sums[starts + lengths] - sums[starts]) * inverse[starts]
-        return mix(h + lengths.astype(np.uint64) * _STEP)
+        h = mix(lengths.astype(np.uint64) * _STEP + _BASE)
+        rows, active = eights(b), np.flatnonzero(lengths <= LONG)
+        at, left = starts[active], lengths[active]
+        while len(active):
+            h[active] = mix(h[active] + load(rows, at, left))
+            more = left > 8
+            active, at, left = active[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(lengths > LONG).tolist():
+        h[i] = int.from_bytes(blake2b(b[starts[i] : starts[i] + lengths[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def _pieces(data: bytes) -> list[bytes]:
@@ -116,8 +126,11 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
     return out
 
 
-def set_key(s: np.ndarray) -> int:
-    """64-bit key of a set, as a signed long."""
-    with np.errstate(over="ignore"):
-        x = mix(np.array([np.sum(mix(s ^ _BASE), dtype=np.uint64) + np.uint64(len(s))], np.uint64))
-    return int(x.view(np.int64)[0])
+def set_key(s: np.ndarray, seed: int = 0) -> int:
+    """64-bit key of a set, as a signed long: a digest of its sorted hashes."""
+    return int.from_bytes(blake2b(s.tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little", signed=True)
+
+
+def set_keys(s: np.ndarray, seed: int = 0) -> tuple[int, int]:
+    """The key of a set and 64 further bits of the same strength."""
+    return set_key(s, seed), int.from_bytes(blake2b(s.tobytes(), digest_size=8, person=b"check").digest(), "little", signed=True)

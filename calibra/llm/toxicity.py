@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import zlib
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 from calibra.llm.common import batches_of, cut_lineage, texts_of
 from calibra.llm.folds import in_fold, label_sample
 
-#: Labelled rows that the lexicon is fitted on at most, and lexicon entries kept at most.
-SAMPLE, ENTRIES = 30_000, 20_000
+#: Labelled rows that the lexicon is fitted on at most.
+SAMPLE = 30_000
+#: Features that a task counts before it sends them.
+COUNTED = 200_000
 #: An entry needs that precision, and that many nats above the best chance entry.
 PRECISION, MARGIN = 0.95, 1.0
 #: Bits of the sketch of the words before an entry.
@@ -37,8 +40,10 @@ CONTEXTS = 32
 LEAK = 0.02
 THRESHOLD = 0.7
 #: Tokens whose reading a worker remembers before it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 N_CLASSES = 64
+#: Bytes of text that a task reads at once.
+SLICE = 1 << 20
 
 # Letters that a sign or digit may stand for.
 LEET = {
@@ -48,7 +53,7 @@ LEET = {
 _EDGES = ".,;:?!'\"()[]{}%&*#<>-_~`/\\|="
 #: Nats for reading a sign as a letter, for dropping a sign, and for shrinking a run.
 COST_SIGN, COST_DROP, COST_SHRINK, COST_PAIR = 1.0, 4.0, 1.0, 4.0
-#: Readings so many nats from the best count too, three at most.
+#: Readings so many nats from the best count too.
 CLOSE = 3.0
 _SPACED = re.compile(r"(?<!\w)(?:[^\W_][ ._*-]{1,2}){3,}[^\W_](?!\w)")
 _LONG_RUN = re.compile(r"([^\W\d_])\1\1")
@@ -64,8 +69,9 @@ def char_class(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % (N_CLASSES - 27)
 
 
+@functools.lru_cache(maxsize=1)
 def _class_table() -> np.ndarray:
-    table = np.zeros(0x110000, np.int64)
+    table = np.zeros(0x110000, np.uint8)
     for c in range(0x110000):
         ch = chr(c)
         if ch.isalpha():
@@ -79,9 +85,11 @@ def char_model(docs: DataFrame) -> np.ndarray:
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, counts = _class_table(), np.zeros(N_CLASSES**3, np.int64)
-        for batch in batches_of(rows, "text", 2 << 20):
-            code = table[np.frombuffer(("  " + "  ".join(texts_of(batch)) + " ").encode("utf-32-le"), np.uint32)]
-            counts += np.bincount((code[:-2] * N_CLASSES + code[1:-1]) * N_CLASSES + code[2:], minlength=N_CLASSES**3)
+        for batch in batches_of(rows, "text", SLICE):
+            text = "  " + "  ".join(texts_of(batch)) + " "
+            for at in range(0, len(text), SLICE):  # the two characters before a slice come with it
+                code = table[np.frombuffer(text[max(0, at - 2) : at + SLICE].encode("utf-32-le"), np.uint32)].astype(np.int32)
+                counts += np.bincount((code[:-2] * N_CLASSES + code[1:-1]) * N_CLASSES + code[2:], minlength=N_CLASSES**3)
         some = np.flatnonzero(counts)
         yield pa.record_batch([pa.array(some), pa.array(counts[some])], names=["gram", "n"])
 
@@ -144,7 +152,7 @@ class Restorer:
                         after[x, y] = (total, (text, letters) if letters else text)
             best = after
         ended = sorted((cost - float(self.model[a, b, 0]), _joined(text)) for (a, b), (cost, text) in best.items())
-        return tuple(text for cost, text in ended[:3] if text and cost <= ended[0][0] + CLOSE)
+        return tuple(text for cost, text in ended if text and cost <= ended[0][0] + CLOSE)
 
     def readings(self, raw: str) -> tuple[str, ...]:
         """The plain token, and what it and its parts between signs are read as if it looks disguised."""
@@ -170,6 +178,20 @@ class Restorer:
         return " ".join(r[min(1, len(r) - 1)] for r in map(self.readings, joined.split()))
 
 
+def _tokens(text: str) -> Iterable[str]:
+    """Tokens between white space, without a list of them where a text is long."""
+    return text.split() if len(text) < SLICE else (m.group() for m in re.finditer(r"\S+", text))
+
+
+def _first_contexts(text: str) -> dict[str, str]:
+    """The token before the first use of each token."""
+    found, prev = {}, ""
+    for token in _tokens(text):
+        found.setdefault(token, prev)
+        prev = token
+    return found
+
+
 def features_of(word: str) -> tuple[str, ...]:
     """A word and its beginnings of four to six characters."""
     return (word, *("^" + word[:n] for n in (4, 5, 6) if len(word) > n))
@@ -180,13 +202,16 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, model: np.ndarray, mod: int,
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, toxic, clean, contexts = Restorer(model), Counter(), Counter(), Counter()
-        for batch in batches_of(rows, "text", 8 << 20):
+
+        def counted() -> pa.RecordBatch:
+            keys = list(toxic.keys() | clean.keys())
+            return pa.record_batch([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (toxic, clean, contexts))], names=["feature", "toxic", "clean", "contexts"])
+
+        for batch in batches_of(rows, "text", SLICE):
             for text, label in zip(texts_of(batch), batch.column("label").to_pylist()):
                 low = text.lower()
-                tokens = low.split()
-                before = dict(zip(reversed(tokens), reversed(["", *tokens[:-1]])))
                 own: dict[str, str] = {}
-                for raw, prev in before.items():
+                for raw, prev in _first_contexts(low).items():
                     for word in restorer.readings(raw):
                         for f in features_of(word):
                             own.setdefault(f, prev)
@@ -198,12 +223,15 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, model: np.ndarray, mod: int,
                 if label:
                     for f, prev in own.items():
                         contexts[f] |= 1 << zlib.crc32(prev.encode()) % CONTEXTS
-        keys = list(toxic.keys() | clean.keys())
-        yield pa.record_batch([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (toxic, clean, contexts))], names=["feature", "toxic", "clean", "contexts"])
+            if len(toxic) + len(clean) > COUNTED:
+                yield counted()
+                toxic.clear(), clean.clear(), contexts.clear()
+        yield counted()
 
     sample = label_sample(labels, "toxic", mod, rest, bound)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "label")
-    counts = rows.mapInArrow(run, "feature string, toxic long, clean long, contexts long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_or("contexts").alias("contexts"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # one text for each labelled id
+    counts = rows.select("text", "label").mapInArrow(run, "feature string, toxic long, clean long, contexts long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_or("contexts").alias("contexts"))
     counts = cut_lineage(counts)
     base = counts.agg(F.count("*"), F.max(F.when(F.col("feature") == "", F.col("toxic"))), F.max(F.when(F.col("feature") == "", F.col("clean")))).first()
     n_features, toxic, clean = base[0], base[1] or 0, base[2] or 0
@@ -217,8 +245,8 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, model: np.ndarray, mod: int,
     # log likelihood ratio against the base rate, beyond what the best of so many features has by chance
     gain = uses * F.ln(precision / rate) + F.col("clean") * F.ln((1 - precision) / (1 - rate))
     kept = counts.where(F.col("feature") != "").withColumn("precision", precision).where((F.col("precision") >= PRECISION) & (gain >= math.log(n_features) + MARGIN))
-    best = kept.orderBy(F.desc(gain), "feature").limit(ENTRIES).collect()
-    return {r.feature: float(r.precision) for r in best}, LEAK
+    # bounded by the words of the sample
+    return {r.feature: float(r.precision) for r in kept.select("feature", "precision").collect()}, LEAK
 
 
 class ToxicScorer:
@@ -240,7 +268,7 @@ class ToxicScorer:
         clean = math.log(1 - self.leak)
         if len(seen) > REMEMBERED:
             seen.clear()
-        for raw in set(low.split()):
+        for raw in set(_tokens(low)):
             p = seen.get(raw)
             if p is None:
                 p = seen[raw] = self.evidence(raw)
@@ -257,14 +285,16 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, mod: int = 3, rest: int
     """(doc_id, held_out, score, predicted[, restored]) of each row.
 
     labels (doc_id, toxic) teach from ids outside the fold crc32(doc_id) mod mod = rest only.
-    A null or empty text scores the share of unexplained toxic texts. Without labels every text
-    does. Rows come out as they go in, repeated ones too; other columns are ignored."""
+    A null or empty text, and a text without a toxic word, has the constant score LEAK; without
+    labels every text has. Of rows that repeat a labelled id the least text teaches. A null
+    doc_id is scored and not held out. Rows come out as they go in, repeated ones too; other
+    columns are ignored; an empty table gives an empty result."""
     model = char_model(docs)
     lexicon, leak = fit_lexicon(docs, labels, model, mod, rest, bound)
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = ToxicScorer(model, lexicon, leak)
-        for batch in batches_of(rows, "text", 8 << 20):
+        for batch in batches_of(rows, "text", SLICE):
             texts = texts_of(batch)
             score = np.array([scorer.score(t) for t in texts])
             cols = [batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))]
@@ -277,14 +307,17 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, mod: int = 3, rest: int
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the texts whose toxicity reaches the threshold; all columns stay as they are."""
+    """docs without the texts whose toxicity reaches the threshold; all columns stay as they are.
+
+    Null and empty texts stay; each of repeated rows is judged for itself. Columns may have any
+    other names and types; an empty table, or one without labels, loses nothing."""
     model = char_model(docs)
     lexicon, leak = fit_lexicon(docs, labels, model, 3, 1)
     at = docs.columns.index("text")
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = ToxicScorer(model, lexicon, leak)
-        for batch in batches_of(rows, "text", 8 << 20):
+        for batch in batches_of(rows, "text", SLICE):
             yield batch.filter(pa.array([scorer.score(t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

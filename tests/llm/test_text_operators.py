@@ -132,6 +132,56 @@ def test_bpe_on_odd_texts():
     assert [x.tolist() for x in b.encode_batch(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def regular(n):
+    """The Thue-Morse word over a and b of n letters, and its complement."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_regular_words_stay_apart(spark, n):
+    from tokenizers import Tokenizer
+
+    from calibra.llm.bpe import PairIndexBpe, default_tokenizer
+    from calibra.llm.ngram_join import ngram_jaccard_classes
+
+    t, b = Tokenizer.from_file(default_tokenizer()), PairIndexBpe(default_tokenizer())
+    texts = [*regular(n), *("x y " + w for w in regular(n))]
+    assert [x.tolist() for x in b.encode_batch(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    # so do words that the tokenizer makes no piece of
+    one, two = (" ".join(w) + " " + w for w in regular(n))
+    rows = spark.createDataFrame([(1, regular(n)[0]), (2, regular(n)[1]), (3, one), (4, two)], "doc_id long, text string")
+    a, b = shingles(one, 5), shingles(two, 5)
+    assert a != b
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_classes(rows).collect()} == {1: (1, 1), 2: (1, 2), 3: (len(a), 3), 4: (len(b), 3 if 5 * len(a & b) >= 4 * len(a | b) else 4)}
+
+
+def test_sets_with_one_key_are_dealt_anew(spark, monkeypatch):
+    from calibra.llm import ngram_join
+
+    seeds, real = [], ngram_join.set_sizes
+
+    def crowded(docs, k, seed=0):
+        seeds.append(seed)
+        return real(docs, k, seed) if seed else real(docs, k, seed).selectExpr("doc_id", "n_shingles", "if(set_key is null, null, 7L) as set_key", "set_check")
+
+    monkeypatch.setattr(ngram_join, "set_sizes", crowded)
+    rows = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "u v w x y z")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in ngram_join.ngram_jaccard_classes(rows).collect()) == [(1, 1), (2, 1), (3, 3)] and seeds == [0, 1]
+
+
+def test_long_texts_are_cut_at_pieces():
+    from tokenizers import Tokenizer
+
+    from calibra.llm.bpe import PairIndexBpe, default_tokenizer
+
+    rng, t, b = random.Random(5), Tokenizer.from_file(default_tokenizer()), PairIndexBpe(default_tokenizer())
+    texts = [words(rng, 500) * 1000, "", "hello world, it's  1234 " * 150_000, "a" * 300_000]
+    got = b.encode_batch(texts)
+    assert [x.tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [b.decode(x) for x in got] == texts
+
+
 def test_secrets_equal_a_full_scan(docs):
     from calibra.llm.secrets import RULES, find_secrets, redact_secrets
 
