@@ -1,7 +1,7 @@
 """Language identification with string kernels.
 
 A text is described by the presence of byte n-grams of several lengths (a blended spectrum),
-taken from its lower-case form over the whole text. The kernel of two texts is the cosine of
+taken from its lower-case form over the whole text, landmarks too. The kernel of two texts is the cosine of
 their presence vectors. Landmarks are a bounded, documented sample of training texts; the
 Nyström map k(x, landmarks) K^(-1/2) turns a batch of texts into a small dense matrix by one
 matrix product. One-versus-rest kernel ridge regression needs only the sums Z'Z and Z'Y over
@@ -14,15 +14,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibra.llm.common import batches_of, texts_of
 from calibra.llm.folds import in_fold
 from calibra.llm.shingles import mix
 
-#: Landmarks at most, characters of a landmark's text, n-gram lengths, ridge weight.
-LANDMARKS, LANDMARK_CHARS, LENGTHS, RIDGE = 160, 2_000, (1, 2, 3, 4), 1e-3
+#: Landmarks (one of each language at least), n-gram lengths, ridge weight, languages at most (more are an error).
+LANDMARKS, LENGTHS, RIDGE, MOST_LANGUAGES = 160, (1, 2, 3, 4), 1e-3, 4_096
+#: Bytes whose n-grams are taken at once.
+STEP = 1 << 18
 #: Different n-grams that a description keeps apart.
 SLOTS = 1 << 15
 UNKNOWN = "und"
@@ -30,26 +32,28 @@ UNKNOWN = "und"
 
 def presence(text: str, lengths: tuple[int, ...] = LENGTHS) -> np.ndarray:
     """Ascending slots of the n-grams of a text's lower-case UTF-8 bytes."""
-    b = np.frombuffer((" " + text.lower() + " ").encode(), np.uint8).astype(np.uint64)
+    whole = np.frombuffer((" " + text.lower() + " ").encode(), np.uint8)
     seen = np.zeros(SLOTS, bool)
-    code = np.zeros(len(b), np.uint64)
-    for n in range(1, max(lengths) + 1):
-        if len(b) < n:
-            break
-        code = (code[: len(b) - n + 1] << np.uint64(8)) | b[n - 1 :]
-        if n in lengths:
-            with np.errstate(over="ignore"):
-                seen[(mix(code + np.uint64(n << 40)) % np.uint64(SLOTS)).astype(np.int64)] = True
+    for at in range(0, len(whole), STEP):  # slices overlap by all but one byte of the longest n-gram
+        b = whole[at : at + STEP + max(lengths) - 1].astype(np.uint64)
+        code = np.zeros(len(b), np.uint64)
+        for n in range(1, max(lengths) + 1):
+            if len(b) < n:
+                break
+            code = (code[: len(b) - n + 1] << np.uint64(8)) | b[n - 1 :]
+            if n in lengths:
+                with np.errstate(over="ignore"):
+                    seen[(mix(code + np.uint64(n << 40)) % np.uint64(SLOTS)).astype(np.int64)] = True
     return np.flatnonzero(seen)
 
 
 class Nystroem:
     """Map of texts onto landmark coordinates."""
 
-    def __init__(self, landmarks: list[str]) -> None:
+    def __init__(self, landmarks: list[np.ndarray]) -> None:
+        """landmarks: the slots of each landmark text."""
         rows = np.zeros((len(landmarks), SLOTS), np.float32)
-        for i, t in enumerate(landmarks):
-            own = presence(t)
+        for i, own in enumerate(landmarks):
             rows[i, own] = 1 / np.sqrt(max(1, len(own)))
         used = np.flatnonzero(rows.any(0))
         self.column = np.full(SLOTS, -1, np.int64)
@@ -76,16 +80,23 @@ class Nystroem:
 def fit_languages(docs: DataFrame, mod: int, rest: int, n_landmarks: int = LANDMARKS) -> tuple[Nystroem, np.ndarray, list[str]] | None:
     """(map, ridge weights of each language, languages) from texts outside the fold; None without any."""
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), "doc_id").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~in_fold(mod, rest))
-    languages = sorted(r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect())
+    languages = sorted(r.lang for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
     if not languages:
         return None
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: group them first")
     each = max(1, n_landmarks // len(languages))
-    key = F.xxhash64(F.col("doc_id"), F.lit(5))
-    picked = rows.select("lang", key.alias("key"), F.substring("text", 1, LANDMARK_CHARS).alias("text"))
-    chosen: list[str] = []
-    for lang in languages:  # each a bounded top-k
-        chosen += [r.text for r in picked.where(F.col("lang") == lang).orderBy("key", "text").limit(each).collect()]
-    net = Nystroem(chosen)
+    keyed = rows.select("lang", "text", F.xxhash64("doc_id", "text", F.lit(5)).alias("key"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    picked = [(r.lang, r.key) for r in keyed.select("lang", "key").distinct().withColumn("rank", rank).where(F.col("rank") <= each).collect()]  # a bounded number
+
+    def described(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(batches, "text", 2 << 20):
+            slots = [presence(t).astype(np.int16).tobytes() for t in texts_of(batch)]
+            yield pa.record_batch([batch.column("lang"), batch.column("key"), pa.array(slots, pa.binary())], names=["lang", "key", "slots"])
+
+    chosen = keyed.where(F.col("key").isin([k for _, k in picked])).mapInArrow(described, "lang string, key long, slots binary").groupBy("lang", "key").agg(F.min("slots").alias("slots"))
+    net = Nystroem([np.frombuffer(r.slots, np.int16).astype(np.int64) for r in sorted(chosen.collect(), key=lambda r: (r.lang, r.key))])
     width, number = net.root.shape[1] + 1, {x: i for i, x in enumerate(languages)}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +123,8 @@ def language_predictions(docs: DataFrame, mod: int = 3, rest: int = 1, n_landmar
     Learns from the text and non-null lang of rows outside the fold crc32(doc_id) mod mod =
     rest. A text that is null or has no letter is `und` with score 0, as is every text where
     there is nothing to learn from. Ties go to the first language in order. Rows come out as
-    they go in, repeated ones too; other columns are ignored."""
+    they go in, repeated ones too; doc_id may be null; other columns are ignored; an empty
+    table gives an empty result."""
     fitted = fit_languages(docs, mod, rest, n_landmarks)
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

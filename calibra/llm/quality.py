@@ -143,27 +143,33 @@ def fit_quality(good: np.ndarray, any_: np.ndarray) -> tuple[BinnedLogistic, flo
     """Model and class prior from statistics of trusted positives and unlabelled texts."""
     rng = np.random.default_rng(7)
     good, any_ = good[rng.permutation(len(good))], any_[rng.permutation(len(any_))]
-    half_p, half_u = len(good) // 2, len(any_) // 2
+    half_p, half_u = max(1, len(good) // 2), max(1, len(any_) // 2)
     first = BinnedLogistic(any_)
     fit_non_negative(first, good[:half_p], any_[:half_u], 0.5, steps=STEPS // 2)
-    prior = class_prior(first.margin(good[half_p:]), first.margin(any_[half_u:]))
+    prior = class_prior(first.margin(good[min(half_p, len(good) - 1) :]), first.margin(any_[min(half_u, len(any_) - 1) :]))
     model = BinnedLogistic(any_)
     fit_non_negative(model, good, any_, prior)
     model.calibrate(good, any_, prior)
     return model, prior
 
 
-def _sample_statistics(docs: DataFrame, ids: DataFrame) -> np.ndarray:
-    """Statistics of the texts of a bounded set of ids, in a fixed order."""
+def _sample_statistics(docs: DataFrame, good: DataFrame, any_: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Statistics of the texts of two bounded sets of ids, in a fixed order, by one scan.
+
+    An id that rows repeat stands for the least of its texts."""
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = _kinds()
         for batch in batches_of(rows, "text", 2 << 20):
-            yield pa.record_batch([batch.column("doc_id"), pa.array(list(statistics(texts_of(batch), kinds)), pa.list_(pa.float64()))], names=["doc_id", "x"])
+            x = statistics(texts_of(batch), kinds)
+            yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "good", "any")), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "good", "any", "x"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids.select("doc_id")), "doc_id")
-    found = rows.mapInArrow(run, "doc_id long, x array<double>").orderBy("doc_id", "x").collect()
-    return np.array([r.x for r in found]).reshape(-1, len(STATISTICS))
+    both = good.select("doc_id", F.lit(True).alias("good"), F.lit(False).alias("any")).union(any_.select("doc_id", F.lit(False), F.lit(True)))
+    ids = both.groupBy("doc_id").agg(F.max("good").alias("good"), F.max("any").alias("any"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    once = rows.groupBy("doc_id", "good", "any").agg(F.min("text").alias("text"))
+    found = once.mapInArrow(run, "doc_id long, good boolean, any boolean, x array<double>").orderBy("doc_id").collect()
+    return tuple(np.array([r.x for r in found if r[c]]).reshape(-1, len(STATISTICS)) for c in ("good", "any"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, bound: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -171,13 +177,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int =
 
     Positives come from labels (doc_id, quality = 1) outside the fold crc32(doc_id) mod mod =
     rest, unlabelled texts from ids outside it. A null text counts as empty; empty texts get
-    the score of their statistics. Without positives every score is 0.5. Rows come out as they
-    go in, repeated ones too; other columns are ignored."""
+    the score of their statistics. Where no positive or no text may teach every score is 0.5.
+    Rows come out as they go in, repeated ones too; a null doc_id is scored and not held out;
+    other columns are ignored; an empty table gives an empty result."""
     good = label_sample(labels.where(F.col("quality") == 1), "quality", mod, rest, bound)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull() & ~in_fold(mod, rest)).distinct()
     any_ = ids.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(bound)
-    p, u = _sample_statistics(docs, good), _sample_statistics(docs, any_)
-    model = fit_quality(p, u)[0] if len(p) > 10 and len(u) > 10 else None
+    p, u = _sample_statistics(docs, good, any_)
+    model = fit_quality(p, u)[0] if len(p) and len(u) else None
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = _kinds()

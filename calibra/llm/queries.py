@@ -12,6 +12,7 @@ from calibra.llm.language import language_predictions
 from calibra.llm.maxscore import exact_top_k
 from calibra.llm.mixing import mix_plan
 from calibra.llm.ngram_join import ngram_jaccard_classes
+from calibra.llm.oracles import ORACLES
 from calibra.llm.pii import pii_digest
 from calibra.llm.pivot_dedup import near_duplicates
 from calibra.llm.quality import quality_scores
@@ -65,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -37,17 +37,19 @@ class Rule:
 
 
 # The base kinds, then the kinds that the method adds. A match of hex is a whole
-# run of its characters, so its least length can stand in the pattern.
+# run of its characters, so its least length can stand in the pattern. The added patterns are
+# possessive, begin at the edge of a run or have parts of bounded length, so that a long run
+# which is no match is read once.
 RULES = (
     Rule("assign", r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6, 2),
     Rule("access", r"AKIA[A-Z0-9]+", 20),
     Rule("hex", r"[0-9a-f]{24,}", 24),
     Rule("private_key", r"-----BEGIN (?:RSA |EC |OPENSSH |DSA |)PRIVATE KEY-----", 1, 0, False),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 1, 0, False),
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", 1, 0, False),
     Rule("repo_token", r"(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}", 1, 0, False),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}", 1, 0, False),
     Rule("bearer", r"[Bb]earer\x20+[A-Za-z0-9._~+/-]{20,}=*", 1, 0, False),
-    Rule("url_login", r"[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s:/@]+@[A-Za-z0-9.-]+", 1, 0, False),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{0,30}://[^\s:/@]++:[^\s:/@]++@[A-Za-z0-9.-]++", 1, 0, False),
 )
 
 #: A query is True (no mandatory trigram), a trigram string, or ("and" | "or", parts).
@@ -175,7 +177,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, spans array<struct<kind, start, end, base>>) of each row; offsets in code points.
 
     A null or empty text has no spans. Rows come out as they go in; doc_id may be null; other
-    columns are ignored. Spans of different kinds may overlap."""
+    columns are ignored; an empty table gives an empty result. Spans of different kinds may overlap."""
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = SecretScanner(rules)
@@ -202,7 +204,8 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]")
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """docs with the secrets in its text replaced by a mark and n_chars recounted where text changed.
 
-    All columns stay, in their order and types; texts without a secret stay as they are, null ones null."""
+    All columns stay, in their order and types, whatever other names they have; texts without a
+    secret stay as they are, null ones null. Repeated rows are treated alike; an empty table gives an empty result."""
     at, count = docs.columns.index(text), docs.columns.index(n_chars) if n_chars in docs.columns else None
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +224,10 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str =
 
 
 def secret_digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Counts of the base kinds, the digest of their spans, and all spans as text."""
+    """Counts of the base kinds, the digest of their spans, all spans as text and their number.
+
+    One row for each row of docs, with the cases of find_secrets: a null or empty text counts
+    nothing and has the digest of the empty text."""
     found = find_secrets(docs, rules)
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["base"])
@@ -229,4 +235,4 @@ def secret_digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(r.kind) for r in rules if r.base]
-    return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

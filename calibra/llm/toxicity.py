@@ -39,8 +39,8 @@ CONTEXTS = 32
 #: Score of a text without any toxic token.
 LEAK = 0.02
 THRESHOLD = 0.7
-#: Tokens whose reading a worker remembers before it starts afresh.
-REMEMBERED = 100_000
+#: Tokens whose reading a worker remembers before it starts afresh, and their length at most.
+REMEMBERED, MEMORABLE = 300_000, 64
 N_CLASSES = 64
 #: Bytes of text that a task reads at once.
 SLICE = 1 << 20
@@ -271,7 +271,9 @@ class ToxicScorer:
         for raw in set(_tokens(low)):
             p = seen.get(raw)
             if p is None:
-                p = seen[raw] = self.evidence(raw)
+                p = self.evidence(raw)
+                if len(raw) <= MEMORABLE:
+                    seen[raw] = p
             if p:
                 clean += math.log(1 - p)
         for word in self.restorer.spaced(low):
