@@ -11,7 +11,6 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from calibra.llm.bpe import bpe_encode
 from calibra.llm.common import shared_folder, table
@@ -42,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with mix_position, their place in the mix of sources to target weights.
 
     Order is a column, since readers of the written table don't keep the order of its rows."""
-    return with_mix_position(docs).select(*docs.columns, F.col("_position").alias("mix_position"))
+    return with_mix_position(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
