@@ -21,9 +21,40 @@ def landed(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("url"), F.unix_timestamp("_metadata.file_modification_time").alias("received_at"), F.col("value").alias("body"))
 
 
-def at(path: str, column: str = "record") -> Column:
-    """A field of a JSON record, by dotted path; names may hold any sign but quotes."""
-    return F.get_json_object(column, "$" + "".join(f"['{p}']" for p in path.split(".")))
+def _first_with(items: Column, field: str, want: str) -> Column:
+    return F.get(F.filter(items, lambda x: F.get_json_object(x, f"$['{field}']") == want), F.lit(0))
+
+
+def at(path: str, column: str | Column = "record") -> Column:
+    """A field of a JSON text, by dotted path; names may hold any sign but quotes.
+
+    A whole number is an index into a list; name[field=want] is the first element of a list
+    whose field has that text. Null where something on the way is missing."""
+    node, steps = F.col(column) if isinstance(column, str) else column, "$"
+    for part in path.split(".") if path else ():
+        name, _, wanted = part.removesuffix("]").partition("[") if part.endswith("]") else (part, "", "")
+        steps += f"[{name}]" if name.isdigit() else f"['{name}']" if name else ""
+        if wanted:
+            field, _, want = wanted.partition("=")
+            node, steps = _first_with(F.from_json(F.get_json_object(node, steps), "array<string>"), field, want), "$"
+    return F.get_json_object(node, steps) if steps != "$" else node
+
+
+def flattened(record: Column, dots: int = 3) -> Column:
+    """A JSON record as a map of dotted names, lists by index; what lies deeper than so many dots stays JSON text."""
+
+    def level(value: Column, prefix: Column, left: int) -> Column:
+        named = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+        listed = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value")))
+
+        def one(e: Column) -> Column:
+            name = F.concat(prefix, e["key"])
+            leaf = F.array(F.struct(name.alias("key"), F.try_variant_get(e["value"], "$", "string").alias("value")))
+            return F.when(F.schema_of_variant(e["value"]).rlike("^(OBJECT|ARRAY)"), level(e["value"], F.concat(name, F.lit(".")), left - 1)).otherwise(leaf) if left else leaf
+
+        return F.flatten(F.transform(F.coalesce(named, listed), one))
+
+    return F.map_from_entries(level(F.try_parse_json(record), F.lit(""), dots))
 
 
 def json_records(payloads: DataFrame, path: str = "") -> DataFrame:
