@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibra.functions.bins import bin_start, floor_to, scale_for_age
@@ -60,3 +60,16 @@ def due_windows(obs: DataFrame, arrival: str, width: int, now: int, grace: int =
 def counts_up_the_tree(obs: DataFrame, ancestors: str, width: int) -> DataFrame:
     """Counts of each node and window; an observation counts at its cell and all ancestors."""
     return obs.select("stream_id", F.explode(ancestors).alias("node"), floor_to(F.col("ts"), width).alias("win_start")).groupBy("stream_id", "node", "win_start").agg(F.count("*").alias("n"))
+
+
+def busiest_and_world(rows: DataFrame, width: int, most: int, world: str = "WORLD") -> DataFrame:
+    """(stream_id, cell, win_start, n): window counts of each stream as a whole and of its busiest cells, zeros included.
+
+    Windows run from the first to the last of all rows."""
+    counts = rows.groupBy("stream_id", "cell", (F.col("ts") - F.pmod("ts", F.lit(width))).alias("win_start")).agg(F.count("*").alias("n"))
+    totals = counts.groupBy("stream_id", "cell").agg(F.sum("n").alias("all"))
+    busy = totals.withColumn("_i", F.row_number().over(Window.partitionBy("stream_id").orderBy(F.desc("all"), "cell"))).where(F.col("_i") <= most).select("stream_id", "cell")
+    own = counts.join(busy, ["stream_id", "cell"], "left_semi").unionByName(counts.groupBy("stream_id", "win_start").agg(F.sum("n").alias("n")).withColumn("cell", F.lit(world)))
+    span = counts.agg(F.min("win_start").alias("a"), F.max("win_start").alias("b"))
+    series = own.select("stream_id", "cell").distinct().crossJoin(span).select("stream_id", "cell", F.explode(F.sequence("a", "b", F.lit(width).cast("long"))).alias("win_start"))  # one row on the right
+    return series.join(own, ["stream_id", "cell", "win_start"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
