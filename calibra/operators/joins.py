@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from calibra.operators.sizes import small
+
 KEY = ["stream_id", "cell", "ts"]
 
 
@@ -24,16 +26,26 @@ def arrived_between(context: DataFrame, seen: DataFrame, start: int, end: int) -
     return context.join(seen.where((F.col("first_seen") >= start) & (F.col("first_seen") < end)), KEY, "inner")
 
 
-def as_of_bin(asks: DataFrame, bins: DataFrame) -> DataFrame:
+def as_of_bin(asks: DataFrame, bins: DataFrame, period: int = 30 * 86400) -> DataFrame:
     """For each ask (ask_id, stream_id, cell, scale, at): the bin of that scale and start, else the latest at or before.
 
-    Bins are matched on the series key, so one shuffle of each side serves the join and the
-    choice; asks without a bin keep nulls."""
-    b = bins.select("stream_id", "cell", F.col("scale").alias("bin_scale"), "bin_start", "n", "vmean")
-    joined = asks.join(b, (asks.stream_id == b.stream_id) & (asks.cell == b.cell) & (b.bin_start <= asks.at), "left").drop(b.stream_id, b.cell)
-    exact = (F.col("bin_scale") == F.col("scale")) & (F.col("bin_start") == F.col("at"))
-    order = Window.partitionBy("ask_id").orderBy(F.desc(F.coalesce(exact, F.lit(False))), F.desc_nulls_last("bin_start"), "bin_scale")
-    return joined.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    Of bins with one start the least scale stands for it. Asks and bins are one table ordered
+    by time, in which an ask takes the last bin seen, within a period of the series first and
+    else from the last of the periods before, so a long series is many groups. Exact bins are
+    found by their key. Asks without a bin keep nulls."""
+    found = F.struct(F.col("scale").alias("bin_scale"), "bin_start", "n", "vmean")
+    exact = bins.select("stream_id", "cell", "scale", F.col("bin_start").alias("at"), found.alias("exact"))
+    held = bins.select("stream_id", "cell", F.col("bin_start").alias("at"), F.lit(0).alias("_asks"), (-F.col("scale")).alias("_order"), found.alias("bin"))
+    both = held.unionByName(asks.withColumns({"_asks": F.lit(1), "_order": F.lit(0)}), allowMissingColumns=True).withColumn("_period", F.floor(F.col("at") / period))
+    before = Window.partitionBy("stream_id", "cell", "_period").orderBy("at", "_asks", "_order").rowsBetween(Window.unboundedPreceding, 0)
+    lasts = held.groupBy("stream_id", "cell", F.floor(F.col("at") / period).alias("_period")).agg(F.max_by("bin", F.struct("at", "_order")).alias("_last"))
+    # the last bin of the periods before, for each period that is asked for
+    periods = both.select("stream_id", "cell", "_period").distinct().join(lasts, ["stream_id", "cell", "_period"], "left")
+    carried = F.last("_last", ignorenulls=True).over(Window.partitionBy("stream_id", "cell").orderBy("_period").rowsBetween(Window.unboundedPreceding, -1))
+    carries = periods.withColumn("_carry", carried).select("stream_id", "cell", "_period", "_carry")
+    seen = both.withColumn("_seen", F.last("bin", ignorenulls=True).over(before)).where("_asks = 1")
+    chosen = seen.join(carries, ["stream_id", "cell", "_period"]).join(exact, ["stream_id", "cell", "scale", "at"], "left")
+    return chosen.withColumn("_bin", F.coalesce("exact", "_seen", "_carry")).select(*asks.columns, "_bin.*")
 
 
 def in_interval(asks: DataFrame, records: DataFrame, width: int) -> DataFrame:
@@ -51,7 +63,7 @@ def first_box(points: DataFrame, boxes: DataFrame) -> DataFrame:
 
     boxes is configuration and has a few rows."""
     inside = (F.col("lon") >= F.col("west")) & (F.col("lon") <= F.col("east")) & (F.col("lat") >= F.col("south")) & (F.col("lat") <= F.col("north"))
-    hit = points.join(F.broadcast(boxes), inside).groupBy("point_id").agg(F.min_by("box", "ord").alias("box"))
+    hit = points.join(small(boxes), inside).groupBy("point_id").agg(F.min_by("box", "ord").alias("box"))
     return points.join(hit, "point_id")
 
 
@@ -69,10 +81,10 @@ def latest_verdict(calibration: DataFrame) -> DataFrame:
 
 def nearest_home(places: DataFrame, homes: DataFrame, distance: Column, reach: str) -> DataFrame:
     """Places within their own reach of a home; homes are a handful of configured points."""
-    return places.join(F.broadcast(homes), distance <= F.col(reach), "left_semi")
+    return places.join(small(homes), distance <= F.col(reach), "left_semi")
 
 
 def gated(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """Rows of known streams that are neither retired, quarantined nor in the nursery; configuration is small."""
+    """Rows of known streams that are neither retired, quarantined nor in the nursery."""
     live = sources.where(~F.col("status").isin("retired", "nursery", "quarantined"))
-    return rows.join(F.broadcast(live.select("stream_id", "modality")), "stream_id")
+    return rows.join(live.select("stream_id", "modality"), "stream_id")

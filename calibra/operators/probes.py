@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from calibra.operators.sizes import small
+
 
 def ip_number(ip: Column) -> Column:
     part = lambda i: F.element_at(F.split(ip, r"\."), i).cast("long")
@@ -36,7 +38,7 @@ def anchors(listed: DataFrame, most: int) -> DataFrame:
 
 def without_networks(targets: DataFrame, networks: DataFrame) -> DataFrame:
     """Targets outside all opted-out networks (low, high as numbers); the list is configuration."""
-    n = F.broadcast(networks)
+    n = small(networks)
     return targets.withColumn("_ip", ip_number(F.col("ip"))).join(n, (F.col("_ip") >= n.low) & (F.col("_ip") <= n.high), "left_anti").drop("_ip")
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +31,16 @@ def silence_runs(slots: DataFrame, p: Column, order: str = "slot", by: list[str]
 
 
 def ewma_at_end(rows: DataFrame, value: str, by: list[str], order: str, rate: float = 0.05, start: float = 0.5) -> DataFrame:
-    """Exponential average after the last row of each group, in order; groups are bounded by retention."""
-    own = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("_rows"))
-    return own.select(*by, F.aggregate("_rows", F.lit(start), lambda acc, x: acc + rate * (x[value] - acc)).alias("p"), F.size("_rows").cast("long").alias("n"))
+    """Exponential average after the last row of each group, in order.
+
+    The k-th row from the end has the weight rate * (1 - rate)^k. Rows whose weight is below
+    the precision of a double can't change the sum, so only the last ones of a group are
+    ranked, which Spark limits before it shuffles; the number of rows is counted apart."""
+    reach = math.ceil(math.log(1e-20) / math.log(1 - rate))
+    back = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(order))) - 1
+    sums = rows.withColumn("_back", back).where(F.col("_back") < reach).groupBy(*by).agg(F.sum(F.col(value) * rate * F.pow(F.lit(1 - rate), "_back")).alias("_sum"))
+    counts = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    return sums.join(counts, by).select(*by, (F.col("_sum") + start * F.pow(F.lit(1 - rate), "n")).alias("p"), "n")
 
 
 def latest(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
@@ -88,13 +99,20 @@ def skip_newest(rows: DataFrame, by: list[str], ts: str = "ts") -> DataFrame:
 def throttle(rows: DataFrame, by: list[str], every: int, delta: float) -> DataFrame:
     """Rows that come every seconds after the last emitted one or differ from it by delta or more.
 
-    What is emitted depends on what was emitted before, so each series is a fold over its
-    ordered rows."""
-    own = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ts", "value"))).alias("_rows"))
-    empty = F.array().cast("array<struct<ts:bigint,value:double>>")
-    kept = F.aggregate(
-        F.transform("_rows", lambda x: F.struct(x["ts"].cast("long").alias("ts"), x["value"].cast("double").alias("value"))),
-        empty,
-        lambda acc, x: F.when((F.size(acc) == 0) | (x["ts"] - F.get(acc, F.size(acc) - 1)["ts"] >= every) | (F.abs(x["value"] - F.get(acc, F.size(acc) - 1)["value"]) >= delta), F.concat(acc, F.array(x))).otherwise(acc),
-    )
-    return own.select(*by, F.inline(kept))
+    What is emitted depends on what was emitted before: a task walks its series one after the
+    other in the order of time and holds the last emitted row only, so a series may have any
+    length. Rows without a value are left out; rows of one time come in the order of values."""
+
+    def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = last = value = None
+        for part in parts:
+            keep = []
+            for *own, ts, y in part[[*by, "ts", "value"]].itertuples(index=False):
+                passed = own != key or ts - last >= every or abs(y - value) >= delta
+                keep.append(passed)
+                if passed:
+                    key, last, value = own, ts, y
+            yield part[keep]
+
+    sorted_ = rows.select(*by, F.col("ts").cast("long").alias("ts"), F.col("value").cast("double").alias("value")).where("value is not null").repartition(*by).sortWithinPartitions(*by, "ts", "value")
+    return sorted_.mapInPandas(run, sorted_.schema)

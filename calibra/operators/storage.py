@@ -26,13 +26,13 @@ def newest_version(batches: DataFrame, key: list[str], order: list[Column]) -> D
 def within_budget(records: DataFrame, size: str, order: list[Column], budget: int, bucket: Column) -> DataFrame:
     """The newest records whose sizes add up to the budget.
 
-    Sums by bucket of time come first; only the bucket in which the budget ends is ordered row
-    by row, so no task holds all records."""
+    Sums by bucket of time come first (one narrow row a bucket: days of history); only the
+    bucket in which the budget ends is ordered row by row, so no task holds all records."""
     keyed = records.withColumn("_bucket", bucket)
     sums = keyed.groupBy("_bucket").agg(F.sum(size).alias("_sum"))
     after = F.coalesce(F.sum("_sum").over(Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ends = sums.withColumn("_after", after)
-    joined = keyed.join(F.broadcast(ends), "_bucket").where(F.col("_after") < budget)
+    joined = keyed.join(ends, "_bucket").where(F.col("_after") < budget)
     whole = joined.where(F.col("_after") + F.col("_sum") <= budget)
     cut = joined.where(F.col("_after") + F.col("_sum") > budget)
     run = F.sum(size).over(Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) + F.col("_after")
@@ -59,4 +59,4 @@ def append_once(rows: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame
 
 def current_states(states: DataFrame, versions: DataFrame) -> DataFrame:
     """Model states whose version is the current one of their flavor; versions is configuration."""
-    return states.join(F.broadcast(versions), ["flavor", "version"], "left_semi")
+    return states.join(versions, ["flavor", "version"], "left_semi")

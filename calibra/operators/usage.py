@@ -30,7 +30,7 @@ def top_and_rest(totals: DataFrame, column: str, by: str, n: int) -> DataFrame:
     """The n largest and one row for all others; ranks only the n largest."""
     per = totals.groupBy(by).agg(F.sum(column).alias(column))
     first = per.orderBy(F.desc(column), by).limit(n)
-    rest = per.join(F.broadcast(first.select(by)), by, "left_anti").agg(F.sum(column).alias(column)).where(F.col(column).isNotNull()).select(F.lit("others").alias(by), column)
+    rest = per.join(first.select(by), by, "left_anti").agg(F.sum(column).alias(column)).where(F.col(column).isNotNull()).select(F.lit("others").alias(by), column)
     return first.unionByName(rest)
 
 

@@ -67,7 +67,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _candidates(spark, sf_dir).join(F.broadcast(regions(spark, sf_dir)), "cell").withColumn("modality", lookup("stream_id", MODALITY))
+    return _candidates(spark, sf_dir).join(regions(spark, sf_dir), "cell").withColumn("modality", lookup("stream_id", MODALITY))
 
 
 @query(with_tables(_EVID + f", m AS (SELECT c.*, region, {MODALITY_SQL} AS modality FROM c JOIN regions USING (cell)), t AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY region, stream_id ORDER BY s DESC, cell) <= 3) SELECT region, count(DISTINCT modality) AS modalities, count(*) AS members, round(least(1e0, avg(extremity) * count(DISTINCT modality) / 2), 9) AS severity FROM t WHERE region <> 'ASIA' GROUP BY region HAVING count(DISTINCT modality) >= 2", "surprise", "regions"))
@@ -78,7 +78,7 @@ def corroborate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_tables(f", m AS (SELECT stream_id, cell, region, max(value) / 30 AS s FROM obs JOIN regions USING (cell) WHERE ts >= {NOW} - 259200 GROUP BY ALL), n AS (SELECT stream_id, region, count(DISTINCT cell) AS sensors FROM m WHERE s >= -ln(0.1e0) - 0.5e0 GROUP BY ALL HAVING count(DISTINCT cell) >= 2) SELECT stream_id, region, sensors, count(*) OVER (PARTITION BY stream_id) AS regions FROM n QUALIFY count(*) OVER (PARTITION BY stream_id) <= 5 AND NOT (stream_id = 'click' AND region = 'ASIA')", "regions"))
 def single_source_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = obs(spark, sf_dir).where(F.col("ts") >= NOW - 259200).join(F.broadcast(regions(spark, sf_dir)), "cell").groupBy("stream_id", "cell", "region").agg((F.max("value") / 30).alias("s")).withColumn("q", F.lit(0.5))
+    m = obs(spark, sf_dir).where(F.col("ts") >= NOW - 259200).join(regions(spark, sf_dir), "cell").groupBy("stream_id", "cell", "region").agg((F.max("value") / 30).alias("s")).withColumn("q", F.lit(0.5))
     old = spark.createDataFrame([(NOW - 60, "ASIA", ["click"]), (NOW - 999999, "EUROPE", ["click"])], "opened_at long, region string, streams array<string>")
     return alerts.single_source(m, old, NOW, min_sensors=2, q_tail=0.1, drift=0.5).select("stream_id", "region", "sensors", "regions")
 
@@ -87,7 +87,7 @@ def single_source_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def every_event_first_per_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     from calibra.plans.tables import first_seen
 
-    seen = first_seen(obs(spark, sf_dir)).join(F.broadcast(regions(spark, sf_dir)), "cell")
+    seen = first_seen(obs(spark, sf_dir)).join(regions(spark, sf_dir), "cell")
     none = spark.createDataFrame([], "opened_at long, region string, streams array<string>")
     return alerts.every_event(seen, none, NOW, 86400).select("stream_id", "region", "ts")
 
@@ -108,7 +108,7 @@ def alert_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_tables(", c AS (SELECT stream_id, region, max(value) / 50 AS score FROM obs JOIN regions USING (cell) GROUP BY ALL) SELECT stream_id, region, round(score, 6) AS score, count(*) OVER (PARTITION BY stream_id) AS regions, 0.6e0 AS severity FROM c WHERE score >= 6 QUALIFY count(*) OVER (PARTITION BY stream_id) <= 5 AND region <> 'ASIA'", "regions"))
 def provisional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = obs(spark, sf_dir).join(F.broadcast(regions(spark, sf_dir)), "cell").groupBy("stream_id", "region").agg((F.max("value") / 50).alias("score"))
+    s = obs(spark, sf_dir).join(regions(spark, sf_dir), "cell").groupBy("stream_id", "region").agg((F.max("value") / 50).alias("score"))
     taken = spark.createDataFrame([("ASIA",)], "region string")
     none = spark.createDataFrame([], "opened_at long, region string, streams array<string>")
     return alerts.provisional(s, taken, none, NOW).select("stream_id", "region", F.round("score", 6).alias("score"), "regions", "severity")
@@ -117,7 +117,7 @@ def provisional(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_tables(f", c AS (SELECT stream_id, region, {MODALITY_SQL} AS modality, max(value) / 100 AS e FROM obs JOIN regions USING (cell) WHERE stream_id <> 'click' GROUP BY ALL), n AS (SELECT region, count(DISTINCT modality) AS m, sum(e) AS e, list_sort(list(DISTINCT stream_id)) AS added FROM c WHERE region <> 'ASIA' GROUP BY region) SELECT region, added, CAST(CASE WHEN e * m >= 15 AND m >= 2 THEN 2 WHEN m >= 2 THEN 1 ELSE 0 END AS INTEGER) AS new_stage FROM n WHERE m >= 2", "regions"))
 def region_escalation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = regions(spark, sf_dir)
-    c = obs(spark, sf_dir).join(F.broadcast(r), "cell").groupBy("stream_id", "region").agg((F.max("value") / 100).alias("e")).withColumn("modality", lookup("stream_id", MODALITY))
+    c = obs(spark, sf_dir).join(r, "cell").groupBy("stream_id", "region").agg((F.max("value") / 100).alias("e")).withColumn("modality", lookup("stream_id", MODALITY))
     open_ = r.select("region").distinct().select(F.col("region").alias("alert_id"), "region", F.lit(NOW - 60).alias("opened_at"), F.when(F.col("region") == "ASIA", "resolved").otherwise("open").alias("status"), F.lit(0).alias("stage"), F.array(F.lit("click")).alias("streams"))
     return alerts.escalated(open_, c, NOW).select(F.col("alert_id").alias("region"), "added", "new_stage")
 

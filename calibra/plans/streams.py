@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calibra.functions.bins import epoch
+from calibra.plans.models import COUNTS
 from calibra.plans.registry import query
-from calibra.plans.tables import with_tables
+from calibra.plans.tables import FLAVOR, THROTTLE_SQL, with_tables
 from calibra.streaming import live
 
 
@@ -23,7 +24,11 @@ def stream_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """A new folder in the shared one of spark.checkpoint.dir; on one machine a temporary one will do."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{named.rstrip('/') if named else tempfile.mkdtemp(prefix='calibra-stream-')}/stream-{uuid.uuid4().hex}"
 
 
@@ -47,15 +52,15 @@ def stream_arrival_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stream_point_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = stream_of_events(spark, sf_dir).where(F.col("stream_id").isin("purchase", "error"))
+    points = stream_of_events(spark, sf_dir).where(F.col("stream_id").isin(*(s for s in FLAVOR if s not in COUNTS)))
     return run(live.score_points(points))
 
 
 @query()
 def stream_count_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(live.score_counts(stream_of_events(spark, sf_dir).where("stream_id = 'click'"), 21600))
+    return run(live.score_counts(stream_of_events(spark, sf_dir).where(F.col("stream_id").isin(*COUNTS)), 21600))
 
 
-@query()
+@query(THROTTLE_SQL.replace("{every}", "3600").replace("{delta}", "40"))
 def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(live.throttle(stream_of_events(spark, sf_dir), 3600, 40.0))

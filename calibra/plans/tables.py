@@ -81,3 +81,11 @@ def with_tables(sql: str, *names: str) -> str:
     """SQL after the definitions of the named tables (obs always first)."""
     known = {"surprise": _SURPRISE, "health": _HEALTH, "regions": _REGIONS}
     return "WITH " + ", ".join([_OBS, *[known[n] for n in names]]) + " " + sql
+
+
+#: A fold over each series: what is passed on depends on what was passed on before.
+THROTTLE_SQL = (
+    "WITH RECURSIVE " + _OBS + ", r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY stream_id, cell ORDER BY ts, value) AS i FROM obs WHERE value IS NOT NULL), "
+    "f(stream_id, cell, i, ts, value, passed) AS (SELECT stream_id, cell, i, ts, value, true FROM r WHERE i = 1 UNION ALL SELECT stream_id, cell, i, CASE WHEN go THEN ts ELSE last END, CASE WHEN go THEN value ELSE was END, go FROM "
+    "(SELECT r.*, f.ts AS last, f.value AS was, r.ts - f.ts >= {every} OR abs(r.value - f.value) >= {delta} AS go FROM f JOIN r ON r.stream_id = f.stream_id AND r.cell = f.cell AND r.i = f.i + 1)) SELECT stream_id, cell, ts, value FROM f WHERE passed"
+)

@@ -9,7 +9,7 @@ from calibra.functions import pit
 from calibra.functions.bins import floor_to, hour_of_day
 from calibra.operators import evidence, joins, series, storage, views
 from calibra.plans.registry import query
-from calibra.plans.tables import NOW, first_seen, obs, read, regions, surprise, with_tables
+from calibra.plans.tables import NOW, THROTTLE_SQL, first_seen, obs, read, regions, surprise, with_tables
 
 
 @query(with_tables(", d AS (SELECT *, coalesce(q_detect, q_value) AS q FROM surprise WHERE q_value IS NOT NULL), p AS (SELECT *, sum(-ln(least(greatest(2 * least(q, 1 - q), 1e-300), 1e0)) - 2) OVER w AS p FROM d WINDOW w AS (PARTITION BY stream_id, cell ORDER BY bin_start, event_id ROWS UNBOUNDED PRECEDING)) SELECT event_id, round(p - least(0e0, min(p) OVER (PARTITION BY stream_id, cell ORDER BY bin_start, event_id ROWS UNBOUNDED PRECEDING)), 6) + 0e0 AS s FROM p", "surprise"))
@@ -37,13 +37,13 @@ def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_tables(", m AS (SELECT stream_id, cell, region, max(value) AS s FROM obs JOIN regions USING (cell) GROUP BY ALL) SELECT stream_id, cell, region, s FROM m QUALIFY row_number() OVER (PARTITION BY region, stream_id ORDER BY s DESC, cell) <= 3", "regions"))
 def quota_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = obs(spark, sf_dir).join(F.broadcast(regions(spark, sf_dir)), "cell").groupBy("stream_id", "cell", "region").agg(F.max("value").alias("s"))
+    m = obs(spark, sf_dir).join(regions(spark, sf_dir), "cell").groupBy("stream_id", "cell", "region").agg(F.max("value").alias("s"))
     return series.quota(m).select("stream_id", "cell", "region", "s")
 
 
 @query(with_tables(f", m AS (SELECT stream_id, cell, region, count(*) AS total, max(ts) AS latest FROM obs JOIN regions USING (cell) WHERE ts >= {NOW} - 864000 GROUP BY ALL) SELECT stream_id, cell, region, total, latest FROM m QUALIFY row_number() OVER (PARTITION BY stream_id, region ORDER BY total DESC, cell DESC) <= 3", "regions"))
 def map_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.activity(obs(spark, sf_dir).join(F.broadcast(regions(spark, sf_dir)), "cell"), NOW - 864000, 3).select("stream_id", "cell", "region", "total", "latest")
+    return views.activity(obs(spark, sf_dir).join(regions(spark, sf_dir), "cell"), NOW - 864000, 3).select("stream_id", "cell", "region", "total", "latest")
 
 
 @query(with_tables(", c AS (SELECT stream_id, event_id, event_id * 3 % 1000 AS c, lag(event_id * 3 % 1000) OVER (PARTITION BY stream_id ORDER BY event_id) AS b FROM obs) SELECT event_id, CASE WHEN b IS NULL THEN NULL WHEN c >= b THEN c - b ELSE c END AS d_c FROM c"))
@@ -79,9 +79,8 @@ def timeline_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.newest_first(obs(spark, sf_dir), 50, F.desc("ts"), F.desc("event_id"), back=[F.asc("ts"), F.asc("event_id")]).select("event_id", "stream_id")
 
 
-@query()
+@query(THROTTLE_SQL.replace("{every}", "86400").replace("{delta}", "150"))
 def throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thinned series; a fold that SQL can't express."""
     return series.throttle(obs(spark, sf_dir), ["stream_id", "cell"], 86400, 150.0)
 
 
@@ -104,19 +103,19 @@ def context_seen_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.arrived_between(o, first_seen(o).select("stream_id", "cell", "ts", "first_seen"), NOW - 86400, NOW).select("event_id", "first_seen")
 
 
-@query(with_tables(""", b AS (SELECT stream_id, cell, CAST(0 AS INTEGER) AS bs, ts - ts % 21600 AS bin_start, count(*) AS n FROM obs GROUP BY ALL), a AS (SELECT event_id AS ask_id, stream_id, cell, CAST(event_id % 2 AS INTEGER) AS scale, ts - ts % 21600 AS asked FROM obs WHERE event_id % 50 = 0)
+@query(with_tables(""", b AS (SELECT stream_id, cell, CAST(0 AS INTEGER) AS bs, ts - ts % 21600 AS bin_start, count(*) AS n FROM obs GROUP BY ALL), a AS (SELECT event_id AS ask_id, stream_id, cell, CAST(event_id % 2 AS INTEGER) AS scale, ts - ts % 21600 AS asked FROM obs)
 SELECT ask_id, bin_start, n FROM a JOIN b USING (stream_id, cell) WHERE bin_start <= asked QUALIFY row_number() OVER (PARTITION BY ask_id ORDER BY (bs = scale AND bin_start = asked) DESC, bin_start DESC) = 1"""))
 def asof_bin_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = obs(spark, sf_dir).withColumn("bin_start", floor_to(F.col("ts"), 21600))
     b = o.groupBy("stream_id", "cell", "bin_start").agg(F.count("*").alias("n"), F.avg("value").alias("vmean")).withColumn("scale", F.lit(0))
-    asks = o.where("event_id % 50 = 0").select(F.col("event_id").alias("ask_id"), "stream_id", "cell", (F.col("event_id") % 2).cast("int").alias("scale"), F.col("bin_start").alias("at"))
+    asks = o.select(F.col("event_id").alias("ask_id"), "stream_id", "cell", (F.col("event_id") % 2).cast("int").alias("scale"), F.col("bin_start").alias("at"))
     return joins.as_of_bin(asks, b).select("ask_id", "bin_start", "n")
 
 
-@query(with_tables(", a AS (SELECT event_id AS ask_id, stream_id, cell, ts AS start FROM obs WHERE event_id % 20 = 0) SELECT ask_id, count(*) AS n, CAST(sum(o.event_id) AS BIGINT) AS ids FROM a JOIN obs o USING (stream_id, cell) WHERE o.ts >= start AND o.ts < start + 7200 GROUP BY ask_id"))
+@query(with_tables(", a AS (SELECT event_id AS ask_id, stream_id, cell, ts AS start FROM obs) SELECT ask_id, count(*) AS n, CAST(sum(o.event_id) AS BIGINT) AS ids FROM a JOIN obs o USING (stream_id, cell) WHERE o.ts >= start AND o.ts < start + 7200 GROUP BY ask_id"))
 def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = obs(spark, sf_dir)
-    asks = o.where("event_id % 20 = 0").select(F.col("event_id").alias("ask_id"), "stream_id", "cell", F.col("ts").alias("start"), F.lit(7200).alias("length"))
+    asks = o.select(F.col("event_id").alias("ask_id"), "stream_id", "cell", F.col("ts").alias("start"), F.lit(7200).alias("length"))
     return joins.in_interval(asks, o, 7200).groupBy("ask_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
@@ -130,7 +129,7 @@ def box_join_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT n.n_name AS cc, count(s_suppkey) AS n_targets, CASE WHEN count(s_suppkey) = 0 THEN 'unmonitored' WHEN count(s_suppkey) < 4 THEN 'thin' ELSE 'ok' END AS state FROM nation n LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000 GROUP BY n.n_name")
 def coverage_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("cc"))
-    t = read(spark, sf_dir, "supplier").where("s_acctbal > 5000").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"))
+    t = read(spark, sf_dir, "supplier").where("s_acctbal > 5000").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
     return joins.coverage(n, t, 4).select("cc", "n_targets", "state")
 
 

@@ -7,6 +7,7 @@ arrival). Batch and stream share the models' step functions.
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -77,7 +78,7 @@ def score_counts(stream: DataFrame, width: int, grace: int = 60, ttl: int = 30 *
                     if start >= waits:
                         open_[start] = open_.get(start, 0) + 1
         closed = state.getCurrentWatermarkMs() // 1000 - width
-        seed = np.array([pd.util.hash_array(np.array(["|".join(key)], object))[0]], np.uint64)
+        seed = np.array([zlib.crc32("|".join(key).encode())], np.uint64)  # as in batch
         out = []
         while waits is not None and waits <= closed and waits <= heard + ttl:
             lo, hi = bank.step(waits, np.array([open_.pop(waits, 0)]), width)
@@ -100,7 +101,7 @@ def throttle(stream: DataFrame, every: int, jump: float) -> DataFrame:
 
     def run(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, value = state.get if state.exists else (None, None)
-        rows = pd.concat(list(parts)).sort_values("ts")
+        rows = pd.concat(list(parts)).sort_values(["ts", "value"])
         keep = []
         for ts, y in zip(rows["ts"].tolist(), rows["value"].tolist()):
             passed = last is None or ts - last >= every or abs(y - value) >= jump
