@@ -1,8 +1,9 @@
 """Bayesian dynamic Gamma-Poisson counts over a grid of dispersions, for many series at once.
 
 A bank holds one model for each of its series and advances all of them by one window. Sizes k
-of the grid run from strong overdispersion to Poisson (infinite size); weights over the grid
-and the Gamma rate are discounted. Quantiles come as the interval [F(y-1), F(y)], from which
+of the grid run from strong overdispersion to Poisson (infinite size); each size has a Gamma
+rate of its own. Rates and the weights over the grid are discounted. Hours of the day and days
+of the week have profiles if the parameters ask for them. Quantiles come as the interval [F(y-1), F(y)], from which
 the randomised and the conservative quantile are read.
 """
 
@@ -59,6 +60,8 @@ class CountParams:
     b0: float = 1e-3
     memory: float = 3 * 86400.0
     seasonal_rate: float = 0.05
+    seasonal_hour: bool = False
+    seasonal_dow: bool = False
 
 
 class CountBank:
@@ -66,27 +69,33 @@ class CountBank:
 
     def __init__(self, n: int, par: CountParams = CountParams()) -> None:
         self.par = par
-        self.a, self.b = np.full(n, par.a0), np.full(n, par.b0)
+        self.a, self.b = np.full((n, len(SIZES)), par.a0), np.full((n, len(SIZES)), par.b0)
         self.logw = np.full((n, len(SIZES)), -np.log(len(SIZES)))
         self.hours, self.days = np.zeros((n, 24)), np.zeros((n, 7))
-        self.windows = np.zeros(n, np.int64)
+        self.windows, self.keep = np.zeros(n, np.int64), 1.0
 
     def exposure(self, ts: int) -> np.ndarray:
-        """Expected share of a window at a time, from the hour's and the weekday's profile."""
-        return np.exp(self.hours[:, ts // 3600 % 24] + self.days[:, (ts // 86400 + 4) % 7])
+        """Expected share of a window at a time, from the profiles in use."""
+        e = np.zeros(len(self.a))
+        if self.par.seasonal_hour:
+            e = e + self.hours[:, ts // 3600 % 24]
+        if self.par.seasonal_dow:
+            e = e + self.days[:, (ts // 86400 + 4) % 7]
+        return np.maximum(np.exp(e), 1e-9)
 
     def discount(self, seconds: float) -> None:
-        keep = np.exp(-seconds / self.par.memory)
+        """Forget a part of the rates' evidence; that of the weights goes when they learn."""
+        self.keep = keep = float(np.exp(-max(0.0, seconds) / self.par.memory))
         self.a, self.b = keep * self.a + (1 - keep) * self.par.a0, keep * self.b + (1 - keep) * self.par.b0
-        self.logw = keep * self.logw
-        self.logw -= np.log(np.exp(self.logw).sum(1, keepdims=True))
 
     def predictive(self, y: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(P(y), F(y-1)) of each series and size."""
-        rate = np.maximum(gamma_nodes(self.a) / self.b[:, None] * e[:, None], 1e-12)
+        """(P(y), P(< y)) of each series and size."""
+        finite = self.a[:, :-1]
+        nodes = gamma_nodes(finite.ravel()).reshape(*finite.shape, len(NODES))
+        rate = np.maximum(nodes / self.b[:, :-1, None] * e[:, None, None], 1e-12)
         k = SIZES[:-1][None, :, None]
-        pmf, below = point_and_below(y[:, None, None].astype(float), k, k / (k + rate[:, None, :]))
-        last, last_below = point_and_below(y.astype(float), self.a, self.b / (self.b + e))
+        pmf, below = point_and_below(y[:, None, None].astype(float), k, k / (k + rate))
+        last, last_below = point_and_below(y.astype(float), self.a[:, -1], self.b[:, -1] / (self.b[:, -1] + e))
         return np.concatenate([pmf.mean(2), last[:, None]], axis=1), np.concatenate([below.mean(2), last_below[:, None]], axis=1)
 
     def step(self, ts: int, y: np.ndarray, seconds: float) -> tuple[np.ndarray, np.ndarray]:
@@ -102,20 +111,21 @@ class CountBank:
         return lo, hi
 
     def learn(self, ts: int, y: np.ndarray, e: np.ndarray, pmf: np.ndarray) -> None:
-        mean = self.a / self.b * e
-        self.logw = self.logw + np.log(np.maximum(pmf, 1e-12))
+        known, rate = self.windows > 0, self.a / self.b
+        mean = (np.exp(self.logw) * rate).sum(1) * e
+        self.logw = self.keep * self.logw + np.log(np.maximum(pmf, 1e-12))
         self.logw -= self.logw.max(1, keepdims=True)
         self.logw -= np.log(np.exp(self.logw).sum(1, keepdims=True))
         k = SIZES[:-1][None]
-        shrink = np.concatenate([(k + y[:, None]) / (k + mean[:, None]), np.ones((len(y), 1))], axis=1)
-        known = self.windows > 0
-        self.a = self.a + y
-        self.b = self.b + e * np.where(known, (np.exp(self.logw) * shrink).sum(1), 1.0)
-        tilt = np.where(known, np.clip(np.log((y + 0.5) / (mean + 0.5)), -2, 2), 0.0) * self.par.seasonal_rate
-        self.hours[:, ts // 3600 % 24] += tilt
-        self.days[:, (ts // 86400 + 4) % 7] += tilt / 7
-        self.hours -= self.hours.mean(1, keepdims=True)
-        self.days -= self.days.mean(1, keepdims=True)
+        shrink = np.ones_like(self.a)
+        shrink[:, :-1] = np.where(known[:, None], (k + y[:, None]) / (k + rate[:, :-1] * e[:, None]), 1.0)
+        self.a = self.a + y[:, None]
+        self.b = self.b + e[:, None] * shrink
+        tilt = np.where(known, np.log((y + 0.5) / (mean + 0.5)), 0.0) * self.par.seasonal_rate
+        for used, profile, slot in ((self.par.seasonal_hour, self.hours, ts // 3600 % 24), (self.par.seasonal_dow, self.days, (ts // 86400 + 4) % 7)):
+            if used:
+                profile[:, slot] += tilt
+                profile -= profile.mean(1, keepdims=True)
         self.windows += 1
 
 
