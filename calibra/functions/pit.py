@@ -59,11 +59,10 @@ def rarity_odds(q: Column) -> Column:
 
 
 def transform(v: Column, how: str | None) -> Column:
-    if how == "log":
-        return F.ln(F.greatest(v, F.lit(1e-12)))
-    if how == "log1p":
-        return F.log1p(F.greatest(v, F.lit(0.0)))
-    return v
+    """log (of at least 1e-12), log1p (of at least 0) or the value itself; null stays null."""
+    if how not in ("log", "log1p"):
+        return v
+    return F.when(v.isNotNull(), F.ln(F.greatest(v, F.lit(1e-12))) if how == "log" else F.log1p(F.greatest(v, F.lit(0.0))))
 
 
 def inverse(v: Column, how: str | None, percent: bool = False) -> Column:

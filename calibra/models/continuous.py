@@ -29,6 +29,7 @@ class ContinuousParams:
     periods: tuple[float, ...] = ()
     n_harmonics: int = 1
     quantum: float = 0.0
+    transform: str = ""
 
 
 @dataclass
@@ -69,8 +70,29 @@ def predict(st: ContinuousState, par: ContinuousParams, ts: int) -> tuple[float,
     return float(z @ x), float(np.sqrt(z @ p @ z + st.s))
 
 
-def step(st: ContinuousState, par: ContinuousParams, ts: int, y: float) -> tuple[ContinuousState, float]:
-    """State after a value, and the value's quantile; the first value has 0.5."""
+def edges(par: ContinuousParams, y: float) -> tuple[float, float]:
+    """Modelled values at the ends of the interval that rounding to the quantum hides."""
+    half = par.quantum / 2
+    if par.transform == "log1p":
+        return float(np.log1p(max(np.expm1(y) - half, -1 + 1e-12))), float(np.log1p(np.expm1(y) + half))
+    if par.transform == "log":
+        return float(np.log(max(np.exp(y) - half, 1e-12))), float(np.log(np.exp(y) + half))
+    return y - half, y + half
+
+
+def _uniform(seed: int, ts: int) -> float:
+    """A number in [0, 1) from a fixed hash of a series' seed and a time."""
+    x = (seed * 0x9E3779B97F4A7C15 + ts * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
+    x = ((x ^ (x >> 29)) * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF
+    return (x ^ (x >> 32)) / (1 << 64)
+
+
+def step(st: ContinuousState, par: ContinuousParams, ts: int, y: float, seed: int = 0) -> tuple[ContinuousState, float, float | None]:
+    """State after a value, the value's quantile, and the quantile for tail decisions.
+
+    The first value has 0.5. Of a value known to a quantum only an interval of quantiles is
+    known: the first quantile is drawn from it by the series' seed, the second is the one
+    closest to one half; of other values there is no second one."""
     scale = par.obs_scale**2
     if st.t0 < 0:
         k = 2 + 2 * len(par.periods) * par.n_harmonics
@@ -78,16 +100,17 @@ def step(st: ContinuousState, par: ContinuousParams, ts: int, y: float) -> tuple
         x[0] = y
         var = np.full(k, 10.0)
         var[1] = 1.0
-        return ContinuousState(x, np.diag(var) * scale, scale, par.prior_dof, ts, ts), 0.5
+        return ContinuousState(x, np.diag(var) * scale, scale, par.prior_dof, ts, ts), 0.5, None
     x, p, n, z = _evolved(st, par, ts)
     v = float(z @ p @ z)
     spread, error = v + st.s, y - float(z @ x)
-    root, dof = np.sqrt(spread), min(n, par.obs_dof)
-    rounding = 0.0
+    root, dof = np.sqrt(max(spread, 1e-12)), min(n, par.obs_dof)
+    rounding, cautious = 0.0, None
     if par.quantum:
-        lo, hi = t_cdf(np.array([error - par.quantum / 2, error + par.quantum / 2]) / root, dof)
-        u = ((ts * 2654435761) % 4294967296) / 4294967296
-        q, rounding = float(lo + u * (hi - lo)), par.quantum**2 / 12
+        ends = np.array(edges(par, y))
+        lo, hi = t_cdf((ends - float(z @ x)) / root, dof)
+        q, rounding = float(lo + _uniform(seed, ts) * (hi - lo)), float(ends[1] - ends[0]) ** 2 / 12
+        cautious = float(lo if lo > 0.5 else hi if hi < 0.5 else 0.5)
     else:
         q = float(t_cdf(error / root, dof))
     w = (par.obs_dof + 1) / (par.obs_dof + error * error / spread)
@@ -97,4 +120,4 @@ def step(st: ContinuousState, par: ContinuousParams, ts: int, y: float) -> tuple
     p = (p + p.T) / 2
     square = max(error * error - rounding, -spread / 2)
     s = st.s * (n + w * square / spread) / (n + w)
-    return ContinuousState(x, p * (s / st.s), s, n + w, st.t0, ts), q
+    return ContinuousState(x, p * (s / st.s), s, n + w, st.t0, ts), q, cautious

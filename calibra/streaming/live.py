@@ -46,13 +46,13 @@ def score_points(stream: DataFrame, par: continuous.ContinuousParams = continuou
     def run(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         model, last = pickle.loads(state.get[0]) if state.exists else (continuous.ContinuousState(), None)
         rows = pd.concat(list(parts)).sort_values("ts")
-        out = []
+        out, seed = [], zlib.crc32("|".join(key).encode())
         for ts, y in zip(rows["ts"].tolist(), rows["value"].tolist()):
-            q = None
+            q = cautious = None
             if y is not None and not np.isnan(y) and (last is None or ts > last):
-                model, q = continuous.step(model, par, ts, y)
+                model, q, cautious = continuous.step(model, par, ts, y, seed)
                 last = ts
-            out.append((*key, ts, q, None, continuous.VERSION))
+            out.append((*key, ts, q, cautious, continuous.VERSION))
         state.update((pickle.dumps((model, last)),))
         yield pd.DataFrame(out, columns=["stream_id", "cell", "bin_start", "q_value", "q_detect", "model_version"])
 

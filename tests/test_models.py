@@ -164,3 +164,38 @@ def test_unknown_formats_are_errors(spark):
     assert {"records", "cell_aggregate", "geojson_events", "cap_alerts"} <= PARSERS.keys()
     with pytest.raises(KeyError):
         parse("no such format", spark.range(1))
+
+
+@pytest.mark.parametrize("transform,quantum", [("", 1.0), ("log1p", 1.0), ("log", 0.5)])
+def test_rounded_values_have_cautious_quantiles(transform, quantum):
+    """Quantiles of rounded values are uniform; those for tails lie nearer to one half and within the rounding's interval."""
+    from calibra.models import continuous
+
+    rng = np.random.default_rng(9)
+    par = continuous.ContinuousParams(quantum=quantum, transform=transform, level_var=1e-6, memory=400 * 86400.0)
+    forth = {"": lambda v: v, "log": np.log, "log1p": np.log1p}[transform]
+    raw = np.maximum(np.round((20 + rng.normal(0, 2, 1500)) / quantum) * quantum, quantum)
+    state, qs = continuous.ContinuousState(), []
+    for t, v in enumerate(raw):
+        state, q, cautious = continuous.step(state, par, 3600 * t, float(forth(v)), seed=5)
+        if t > 300:
+            qs.append(q)
+            assert abs(cautious - 0.5) <= abs(q - 0.5) + 1e-9
+    hist = np.histogram(qs, 10, (0, 1))[0] / len(qs)
+    assert np.abs(hist - 0.1).sum() / 2 <= 0.09
+    lo, hi = continuous.edges(par, float(forth(raw[0])))
+    assert math.isclose(lo, float(forth(raw[0] - quantum / 2)), rel_tol=1e-9) and math.isclose(hi, float(forth(raw[0] + quantum / 2)), rel_tol=1e-9)
+
+
+def test_kll_rank_error(spark):
+    """The sketch's quantiles are within two hundredths of their rank."""
+    from calibra.plans.catalog import QUERIES
+    from calibra.plans.tables import obs
+
+    sf = "/root/testdata/sf0.01"
+    values = obs(spark, sf).toPandas().groupby("stream_id").value.apply(lambda x: np.sort(x.to_numpy()))
+    out = QUERIES["kll_quantiles"](spark, sf).toPandas()
+    for row in out.itertuples():
+        own = values[row.stream_id]
+        for q, got in ((0.5, row.median), (0.9, row.p90), (0.99, row.p99)):
+            assert abs(np.searchsorted(own, got, "right") / len(own) - q) <= 0.02 or abs(np.searchsorted(own, got, "left") / len(own) - q) <= 0.02

@@ -65,7 +65,7 @@ def test_point_scores_go_on_over_batches(spark, tmp_path):
     got = streams.run(live.score_points(file_stream(spark, tmp_path / "in", rows, 3))).toPandas()
     state, want = continuous.ContinuousState(), []
     for r in rows[:-1]:
-        state, q = continuous.step(state, continuous.ContinuousParams(), r[2], r[3])
+        state, q, _ = continuous.step(state, continuous.ContinuousParams(), r[2], r[3])
         want.append(q)
     scored = got.dropna(subset=["q_value"]).sort_values("bin_start")
     assert len(got) == 41 and np.allclose(scored.q_value, want)
