@@ -23,17 +23,21 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose restored text scores below the toxicity threshold."""
+    """Documents whose restored text scores below the toxicity threshold.
+
+    Null and empty texts stay; repeated rows are judged alike."""
     return keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class under Jaccard >= 0.8 of five-word shingles: the smallest doc_id."""
+    """One document of each class under Jaccard >= 0.8 of five-word shingles: the smallest doc_id.
+
+    Documents without words stay; rows that share a doc_id are decided one by one."""
     return one_of_each_class(docs, k=5, p=4, q=5)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; secrets in their texts are replaced by a mark."""
+    """All documents; secrets in their texts are replaced by a mark. Null texts stay null."""
     return redact_secrets(docs)
 
 
@@ -57,7 +61,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("bpe", tokenize),
 ]
 
-#: Learned scores and byte-pair merges can't be said in SQL; tests check run() by brute force.
+#: Learned scores and byte-pair merges can't be said in SQL; tests/llm/test_pipeline.py checks run() by plain Python.
 ORACLE_SQL = None
 
 
