@@ -99,3 +99,35 @@ def in_view(lat: Column, lon: Column, west: float, south: float, east: float, no
 
 def map_zoom(res: Column) -> Column:
     return F.greatest(F.least(res + 3, F.lit(10)), F.lit(3))
+
+
+def quad_box(cell: Column) -> Column:
+    """(south, west, north, east) of a quadtree cell, from its digits: north is the second bit, east the first."""
+    digits = F.filter(F.split(F.substring(cell, 2, 64), ""), lambda d: d != "")
+    start = F.struct(F.lit(-90.0).alias("south"), F.lit(-180.0).alias("west"), F.lit(180.0).alias("height"), F.lit(360.0).alias("width"))
+
+    def down(box: Column, digit: Column) -> Column:
+        d = digit.cast("int")
+        north, east = F.floor(d / 2), d % 2
+        return F.struct((box["south"] + north * box["height"] / 2).alias("south"), (box["west"] + east * box["width"] / 2).alias("west"), (box["height"] / 2).alias("height"), (box["width"] / 2).alias("width"))
+
+    return F.aggregate(digits, start, down, lambda b: F.struct(b["south"].alias("south"), b["west"].alias("west"), (b["south"] + b["height"]).alias("north"), (b["west"] + b["width"]).alias("east")))
+
+
+def quad_ring(cell: Column) -> Column:
+    """Closed boundary ring of a cell as (longitude, latitude) pairs."""
+    b = quad_box(cell)
+    return F.array(*[F.array(b[x], b[y]) for x, y in (("west", "south"), ("east", "south"), ("east", "north"), ("west", "north"), ("west", "south"))])
+
+
+def unwrapped(ring: Column) -> Column:
+    """A ring whose longitudes span more than half of the Earth, with 360 added to the negative ones."""
+    lons = F.transform(ring, lambda p: F.get(p, F.lit(0)))
+    wide = F.array_max(lons) - F.array_min(lons) > 180
+    return F.when(wide, F.transform(ring, lambda p: F.array(F.get(p, F.lit(0)) + F.when(F.get(p, F.lit(0)) < 0, 360.0).otherwise(0.0), F.get(p, F.lit(1))))).otherwise(ring)
+
+
+def homes(text: Column) -> Column:
+    """Points of a setting 'lat,lon; lat,lon'; pairs that can't be read are left out."""
+    pairs = F.transform(F.split(text, ";"), lambda p: F.transform(F.split(p, ","), lambda x: F.trim(x).try_cast("double")))
+    return F.filter(pairs, lambda p: (F.size(p) == 2) & F.get(p, F.lit(0)).isNotNull() & F.get(p, F.lit(1)).isNotNull())

@@ -59,3 +59,25 @@ def beyond_mark(rows: DataFrame, scored: DataFrame, by: list[str]) -> DataFrame:
     """Rows strictly after the newest scored start of their series; all rows of a series that has none."""
     marks = scored.groupBy(*by).agg(F.max("bin_start").alias("_mark"))
     return rows.join(marks, by, "left").where(F.col("_mark").isNull() | (F.col("bin_start") > F.col("_mark"))).drop("_mark")
+
+
+def headline_index(evidence: Column) -> Column:
+    """Index of the member that a message leads with, of an array of (issued, story, level): one that its source
+    issued and that has a story, else one with a story, else one at a harm level, else the first."""
+    wants = (lambda e: e["issued"] & e["story"], lambda e: e["story"], lambda e: e["level"] > 0)
+    places = [F.array_position(_flags(evidence, want), F.lit(True)) for want in wants]
+    return F.coalesce(*[F.nullif(p, F.lit(0).cast("long")) for p in places], F.lit(1)) - 1
+
+
+def _flags(evidence: Column, want) -> Column:
+    return F.transform(evidence, lambda e: F.coalesce(want(e), F.lit(False)))
+
+
+def whole_windows(messages: DataFrame, links: DataFrame, width: int) -> DataFrame:
+    """(stream_id, ts, n, mean): messages of each aligned window that a link held open from its start to its end.
+
+    messages: stream_id, received, value; links: stream_id, opened, closed (null while open).
+    The window in which a link opened or broke is dropped; ts is a window's start."""
+    start = F.floor(F.col("received") / width) * width
+    inside = messages.withColumn("ts", start).join(links, "stream_id").where((F.col("received") >= F.col("opened")) & (F.col("ts") >= F.col("opened")) & (F.col("closed").isNull() | (F.col("ts") + width <= F.col("closed"))))
+    return inside.groupBy("stream_id", F.col("ts").cast("long").alias("ts")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))

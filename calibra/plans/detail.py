@@ -223,3 +223,27 @@ def busiest_cells_and_world(spark: SparkSession, sf_dir: str) -> DataFrame:
     from calibra.operators.fold import busiest_and_world
 
     return busiest_and_world(obs(spark, sf_dir), 86400, 3)
+
+
+@query("WITH g AS (SELECT user_id, list({'i': event_id % 5 = 0, 's': event_id % 3 = 0, 'l': event_id % 4} ORDER BY event_id) AS e FROM events WHERE event_id % 7 < 2 GROUP BY 1) SELECT user_id, CAST(coalesce(nullif(list_position(list_transform(e, lambda x: x.i AND x.s), true), 0), nullif(list_position(list_transform(e, lambda x: x.s), true), 0), nullif(list_position(list_transform(e, lambda x: x.l > 0), true), 0), 1) - 1 AS BIGINT) AS lead FROM g")
+def headline_member(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    e = read(spark, sf_dir, "events").where("event_id % 7 < 2").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", (i % 5 == 0).alias("issued"), (i % 3 == 0).alias("story"), (i % 4).alias("level")))).alias("e"))
+    return e.select("user_id", detail.headline_index(F.col("e")).cast("long").alias("lead"))
+
+
+@query(with_tables(f", m AS (SELECT stream_id, ts AS received, value, ts // 900 * 900 AS w FROM obs), l AS (SELECT stream_id, {NOW} - 20 * 86400 + 137 AS opened, CASE WHEN stream_id <> 'click' THEN {NOW} - 5 * 86400 + 59 END AS closed FROM (SELECT DISTINCT stream_id FROM obs)) SELECT stream_id, w AS ts, count(*) AS n, round(avg(value), 6) AS mean FROM m JOIN l USING (stream_id) WHERE w >= opened AND (closed IS NULL OR w + 900 <= closed) GROUP BY ALL"))
+def whole_link_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = obs(spark, sf_dir)
+    links = o.select("stream_id").distinct().select("stream_id", F.lit(NOW - 20 * 86400 + 137).alias("opened"), F.when(F.col("stream_id") != "click", NOW - 5 * 86400 + 59).alias("closed"))
+    return detail.whole_windows(o.select("stream_id", F.col("ts").alias("received"), "value"), links, 900).withColumn("mean", F.round("mean", 6))
+
+
+@query("WITH p AS (SELECT event_id, user_id * 1e0 - 75 AS lat, (event_id % 360) * 1e0 - 180 AS lon FROM events) SELECT event_id, floor((lat + 90) / 22.5e0) * 22.5e0 - 90 AS south, floor((lon + 180) / 45e0) * 45e0 - 180 AS west, floor((lat + 90) / 22.5e0) * 22.5e0 - 90 + 11.25e0 AS mid_lat FROM p WHERE lat < 90")
+def cell_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """South-west corner and middle of the cell that holds each point."""
+    from calibra.functions import geo
+
+    p = read(spark, sf_dir, "events").select("event_id", (F.col("user_id") - 75.0).alias("lat"), (F.col("event_id") % 360 - 180.0).alias("lon")).where("lat < 90")
+    b = geo.quad_box(geo.quad_cell(F.col("lat"), F.col("lon"), 3))
+    return p.select("event_id", b.alias("b")).select("event_id", "b.south", "b.west", ((F.col("b.south") + F.col("b.north")) / 2).alias("mid_lat"))

@@ -64,3 +64,13 @@ def stream_count_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(THROTTLE_SQL.replace("{every}", "3600").replace("{delta}", "40"))
 def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(live.throttle(stream_of_events(spark, sf_dir), 3600, 40.0))
+
+
+@query(with_tables(f", d AS (SELECT stream_id, cell, ts AS bin_start, 1 - exp(-avg(value) / 50e0) AS q FROM obs GROUP BY ALL), g AS (SELECT *, CASE WHEN bin_start - lag(bin_start) OVER w > 86400 THEN 1 ELSE 0 END AS gap, -ln(least(greatest(2 * least(q, 1 - q), 1e-300), 1e0)) - 2 AS x FROM d WINDOW w AS (PARTITION BY stream_id, cell ORDER BY bin_start)), r AS (SELECT *, sum(gap) OVER (PARTITION BY stream_id, cell ORDER BY bin_start ROWS UNBOUNDED PRECEDING) AS run FROM g), p AS (SELECT *, sum(x) OVER (PARTITION BY stream_id, cell, run ORDER BY bin_start ROWS UNBOUNDED PRECEDING) AS p FROM r) SELECT stream_id, cell, bin_start, round(p - least(0e0, min(p) OVER (PARTITION BY stream_id, cell, run ORDER BY bin_start ROWS UNBOUNDED PRECEDING)), 6) + 0e0 AS s FROM p"))
+def stream_running_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live evidence of every series; of values of one second their mean is scored."""
+    mean = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("event_type").alias("stream_id"), F.concat(F.lit("NATION_"), F.pmod("user_id", F.lit(25)).cast("string")).alias("cell"), epoch("ts").alias("bin_start")).agg((1 - F.exp(-F.avg("value") / 50.0)).alias("q"))
+    folder = _folder(spark)
+    mean.write.parquet(f"{folder}/scores")
+    stream = spark.readStream.schema(mean.schema).parquet(f"{folder}/scores")
+    return run(live.running_evidence(stream)).select("stream_id", "cell", "bin_start", (F.round("s", 6) + 0.0).alias("s"))

@@ -96,6 +96,43 @@ def score_counts(stream: DataFrame, width: int, grace: int = 60, ttl: int = 30 *
     return rows.applyInPandasWithState(run, _ROW, "model binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def split_by_flavor(stream: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(point values, counted observations) of a stream, by the flavor of its source (stream_id, flavor); others are dropped."""
+    known = stream.join(sources.select("stream_id", "flavor"), "stream_id")
+    return known.where("flavor = 'continuous'").drop("flavor"), known.where("flavor = 'count'").drop("flavor")
+
+
+def running_evidence(scores: DataFrame, drift: float = 2.0, memory: int = DAY) -> DataFrame:
+    """(stream_id, cell, bin_start, q, s) of scored rows as they come: s = max(0, s before - ln p - drift), two-sided.
+
+    Rows at or before the last of their series are passed over; after a gap of memory seconds s
+    starts at zero."""
+
+    def run(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, s = state.get if state.exists else (None, 0.0)
+        out = []
+        rows = pd.concat(list(parts)).sort_values("bin_start")
+        for at, q in zip(rows["bin_start"].tolist(), rows["q"].tolist()):
+            if q is None or np.isnan(q) or (last is not None and at <= last):
+                continue
+            s = 0.0 if last is not None and at - last > memory else s
+            p = min(max(2 * min(q, 1 - q), 1e-300), 1.0)
+            last, s = at, max(0.0, s - float(np.log(p)) - drift)
+            out.append((*key, at, q, s))
+        if last is not None:
+            state.update((last, s))
+        yield pd.DataFrame(out, columns=["stream_id", "cell", "bin_start", "q", "s"])
+
+    rows = scores.select("stream_id", "cell", "bin_start", "q").groupBy("stream_id", "cell")
+    return rows.applyInPandasWithState(run, "stream_id string, cell string, bin_start long, q double, s double", "last long, s double", "append", GroupStateTimeout.NoTimeout)
+
+
+def live_candidates(evidence: DataFrame, now: int, threshold: float = 4.0, fresh: int = 3 * 3600) -> DataFrame:
+    """The latest row of each series whose s has reached the threshold, if it is fresh."""
+    last = evidence.groupBy("stream_id", "cell").agg(F.max_by(F.struct("bin_start", "q", "s"), "bin_start").alias("r")).select("stream_id", "cell", "r.*")
+    return last.where((F.col("s") >= threshold) & (F.col("bin_start") >= now - fresh))
+
+
 def throttle(stream: DataFrame, every: int, jump: float) -> DataFrame:
     """A value is passed on if every seconds went by since the last one, or if it differs from that by the jump."""
 

@@ -199,3 +199,27 @@ def test_kll_rank_error(spark):
         own = values[row.stream_id]
         for q, got in ((0.5, row.median), (0.9, row.p90), (0.99, row.p99)):
             assert abs(np.searchsorted(own, got, "right") / len(own) - q) <= 0.02 or abs(np.searchsorted(own, got, "left") / len(own) - q) <= 0.02
+
+
+def test_cells_rings_and_homes(spark):
+    from pyspark.sql import functions as F
+
+    from calibra.functions import geo
+
+    row = spark.range(1).select(
+        geo.quad_ring(geo.quad_cell(F.lit(10.0), F.lit(20.0), 2)).alias("ring"), geo.unwrapped(F.array(F.array(F.lit(179.0), F.lit(0.0)), F.array(F.lit(-179.0), F.lit(1.0)))).alias("wide"),
+        geo.unwrapped(F.array(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(-1.0), F.lit(1.0)))).alias("narrow"), geo.homes(F.lit("48.1,11.5; x,2; 35.7 , 139.7;")).alias("homes"),
+    ).first()
+    assert row.ring == [[0.0, 0.0], [90.0, 0.0], [90.0, 45.0], [0.0, 45.0], [0.0, 0.0]]
+    assert row.wide == [[179.0, 0.0], [181.0, 1.0]] and row.narrow == [[1.0, 0.0], [-1.0, 1.0]] and row.homes == [[48.1, 11.5], [35.7, 139.7]]
+
+
+def test_live_candidates_are_fresh_and_strong(spark):
+    from calibra.streaming.live import live_candidates, split_by_flavor
+
+    rows = [("a", "c", 100, 0.9, 5.0), ("a", "c", 200, 0.9, 3.0), ("b", "c", 200, 0.99, 6.0), ("d", "c", -20_000, 0.99, 9.0)]
+    got = live_candidates(spark.createDataFrame(rows, "stream_id string, cell string, bin_start long, q double, s double"), 300).collect()
+    assert [(r.stream_id, r.s) for r in got] == [("b", 6.0)]
+    sources = spark.createDataFrame([("a", "count"), ("b", "continuous"), ("d", "other")], "stream_id string, flavor string")
+    points, counts = split_by_flavor(spark.createDataFrame([(x,) for x in "abde"], "stream_id string"), sources)
+    assert [r.stream_id for r in points.collect()] == ["b"] and [r.stream_id for r in counts.collect()] == ["a"]
