@@ -95,13 +95,13 @@ def alert_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_tables(f""", b AS (SELECT stream_id, cell, ts - ts % 21600 AS bin_start, count(*) AS n, avg(value) AS vmean FROM obs GROUP BY ALL), own AS (SELECT cell, stream_id, sum(n) AS observations, max(bin_start) AS latest_at, arg_max(vmean, bin_start) AS latest FROM b WHERE bin_start >= {NOW} - 259200 GROUP BY ALL),
  p AS (SELECT cell, stream_id, coalesce(q_detect, q_value) AS q, bin_start FROM surprise WHERE bin_start >= {NOW} - 259200 AND q_value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY cell, stream_id ORDER BY greatest(coalesce(q_detect, q_value), 1 - coalesce(q_detect, q_value)) DESC, bin_start, coalesce(q_detect, q_value)) = 1),
  t AS (SELECT cell, stream_id, string_agg('l' || event_id, ',' ORDER BY i) AS stories FROM (SELECT *, row_number() OVER (PARTITION BY cell, stream_id ORDER BY event_id % 7 DESC, ts DESC, 'l' || event_id) AS i FROM obs WHERE ts BETWEEN {NOW} - 259200 AND {NOW}) WHERE i <= 5 GROUP BY ALL)
- SELECT cell, stream_id, CAST(coalesce(observations, 0) AS BIGINT) AS observations, latest_at, round(latest, 6) AS latest, round(q, 6) AS peak_q, p.bin_start AS peak_at, stories FROM own FULL JOIN p USING (cell, stream_id) LEFT JOIN t USING (cell, stream_id)""", "surprise"))
+ SELECT cell, stream_id, CAST(coalesce(observations, 0) AS BIGINT) AS observations, CAST(coalesce(latest_at, 0) AS BIGINT) AS latest_at, round(latest, 6) AS latest, round(q, 6) AS peak_q, CAST(coalesce(p.bin_start, 0) AS BIGINT) AS peak_at, stories FROM own FULL JOIN p USING (cell, stream_id) LEFT JOIN t USING (cell, stream_id)""", "surprise"))
 def cell_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = obs(spark, sf_dir)
     bins = o.groupBy("stream_id", "cell", floor_to(F.col("ts"), 21600).alias("bin_start")).agg(F.count("*").alias("n"), F.avg("value").alias("vmean")).withColumn("scale", F.lit(0))
     stories = o.select("stream_id", "cell", "ts", (F.col("event_id") % 7).alias("rank"), F.concat(F.lit("l"), F.col("event_id").cast("string")).alias("link"))
     rows = detail.cell_detail(bins, surprise(spark, sf_dir), stories, NOW - 259200, NOW)
-    return rows.withColumns({"latest": F.round("latest", 6), "peak_q": F.round("peak_q", 6), "stories": F.array_join("stories", ",")})
+    return rows.withColumns({"latest_at": F.coalesce("latest_at", F.lit(0).cast("long")), "peak_at": F.coalesce("peak_at", F.lit(0).cast("long")), "latest": F.round("latest", 6), "peak_q": F.round("peak_q", 6), "stories": F.array_join("stories", ",")})
 
 
 @query(with_tables(f", b AS (SELECT CASE WHEN event_id % 3 = 0 AND ts >= {NOW} - 864000 THEN 'late' ELSE stream_id END AS stream_id, ts - ts % 3600 AS bin_start, count(*) AS n FROM obs WHERE stream_id <> 'error' OR ts < {NOW} - 864000 GROUP BY ALL), w AS (SELECT *, max(bin_start) OVER (PARTITION BY stream_id) AS newest FROM b) SELECT stream_id, bin_start, n, least(bin_start + 3600, {NOW}) AS observed_at FROM w WHERE CASE WHEN newest >= {NOW} - 86400 THEN bin_start >= {NOW} - 86400 ELSE bin_start = newest END"))
