@@ -23,6 +23,8 @@ from calibra.llm.shingles import mix
 
 #: Landmarks (one of each language at least), n-gram lengths, ridge weight, languages at most (more are an error).
 LANDMARKS, LENGTHS, RIDGE, MOST_LANGUAGES = 160, (1, 2, 3, 4), 1e-3, 4_096
+#: Parts of a language whose landmarks are ranked apart.
+PARTS = 64
 #: Bytes whose n-grams are taken at once.
 STEP = 1 << 18
 #: Different n-grams that a description keeps apart.
@@ -87,15 +89,18 @@ def fit_languages(docs: DataFrame, mod: int, rest: int, n_landmarks: int = LANDM
         raise ValueError(f"more than {MOST_LANGUAGES} languages: group them first")
     each = max(1, n_landmarks // len(languages))
     keyed = rows.select("lang", "text", F.xxhash64("doc_id", "text", F.lit(5)).alias("key"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    picked = [(r.lang, r.key) for r in keyed.select("lang", "key").distinct().withColumn("rank", rank).where(F.col("rank") <= each).collect()]  # a bounded number
+    # the least keys of a language, of parts of it first, so that no task ranks all of a common one
+    first = F.row_number().over(Window.partitionBy("lang", F.pmod("key", F.lit(PARTS))).orderBy("key"))
+    last = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    best = keyed.select("lang", "key").distinct().withColumn("rank", first).where(F.col("rank") <= each).withColumn("rank", last).where(F.col("rank") <= each)
+    picked = [r.key for r in best.collect()]  # a bounded number
 
     def described(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, "text", 2 << 20):
             slots = [presence(t).astype(np.int16).tobytes() for t in texts_of(batch)]
             yield pa.record_batch([batch.column("lang"), batch.column("key"), pa.array(slots, pa.binary())], names=["lang", "key", "slots"])
 
-    chosen = keyed.where(F.col("key").isin([k for _, k in picked])).mapInArrow(described, "lang string, key long, slots binary").groupBy("lang", "key").agg(F.min("slots").alias("slots"))
+    chosen = keyed.where(F.col("key").isin(picked)).mapInArrow(described, "lang string, key long, slots binary").groupBy("lang", "key").agg(F.min("slots").alias("slots"))
     net = Nystroem([np.frombuffer(r.slots, np.int16).astype(np.int64) for r in sorted(chosen.collect(), key=lambda r: (r.lang, r.key))])
     width, number = net.root.shape[1] + 1, {x: i for i, x in enumerate(languages)}
 
