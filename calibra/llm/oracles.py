@@ -88,6 +88,23 @@ MIX = """
     docs AS (SELECT doc_id, coalesce(source, '') AS source, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS number FROM documents)
     SELECT doc_id, source, number AS source_number, number // 16 AS block, CAST(slot AS BIGINT) AS slot, CAST(slot * 16 + number % 16 AS BIGINT) AS mix_position FROM docs JOIN slots USING (source) WHERE slots.block = number // 16"""
 
+FILTER_AUDIT = r"""
+    WITH RECURSIVE ordered AS (SELECT '' AS o UNION ALL SELECT o || c FROM ordered, (SELECT unnest(['A','B','C','D','E']) AS c) WHERE length(o) < 5 AND position(c IN o) = 0),
+    orders AS (SELECT o FROM ordered WHERE length(o) = 5),
+    least AS (SELECT coalesce(text, '') AS t, min(doc_id) AS least FROM documents GROUP BY 1),
+    marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+    d AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    f AS MATERIALIZED (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+        || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails
+        FROM d JOIN least USING (t) LEFT JOIN marks USING (doc_id)),
+    r AS (SELECT part, o, good, toxic, fails, coalesce(list_min(list_transform(list_filter(string_split(fails, ''), lambda x: x <> ''), lambda x: position(x IN o))), 6) AS first_ FROM f, orders),
+    s AS (SELECT part, o, i AS step, o[i] AS letter, count(*) FILTER (first_ > i) AS kept, count(*) FILTER (first_ = i) AS removed, count(*) FILTER (first_ < i AND position(o[i] IN fails) > 0) AS redundant,
+        count(*) FILTER (fails = o[i]) AS unique_fails, count(*) FILTER (first_ = i AND good = 1) AS good_lost, count(*) FILTER (first_ = i AND toxic = 1) AS toxic_lost
+        FROM r, unnest(range(1, 6)) AS u(i) GROUP BY ALL)
+    SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM s"""
+
 ORACLES = {
     "op1_embedding_near_dedup": NEAR_VECTORS,
     "op2_pii": PII,
@@ -95,4 +112,5 @@ ORACLES = {
     "op7_mix_sources": MIX,
     "op9_exact_top_k": TOP_K,
     "op10_secret_scan": SECRETS,
+    "op11_filter_interaction_audit": FILTER_AUDIT,
 }

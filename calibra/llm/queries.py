@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from calibra.llm.bpe import bpe_encode
 from calibra.llm.common import table
+from calibra.llm.filter_audit import filter_audit
 from calibra.llm.language import language_predictions
 from calibra.llm.maxscore import exact_top_k
 from calibra.llm.mixing import mix_plan
@@ -60,8 +61,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_embedding_near_dedup, op2_pii, op3_bpe_round_trip, op4_ngram_jaccard_join, op5_language_id, op6_toxicity, op7_mix_sources, op8_quality, op9_exact_top_k, op10_secret_scan)
+    found = (op1_embedding_near_dedup, op2_pii, op3_bpe_round_trip, op4_ngram_jaccard_join, op5_language_id, op6_toxicity, op7_mix_sources, op8_quality, op9_exact_top_k, op10_secret_scan, op11_filter_interaction_audit)
     return {f.__name__: f for f in found}
 
 
