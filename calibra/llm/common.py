@@ -115,3 +115,19 @@ def batches_of(rows: Iterable[pa.RecordBatch], column: str, most_bytes: int) ->
             stop = max(begin + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
             yield batch.slice(begin, stop - begin)
             begin = stop
+
+
+def joined_bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts with a newline after each, start of each text)."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    return data, np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])[:-1]
+
+
+def encoded_runs(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(start of each run of marked bytes, code of its content, the different contents)."""
+    edge = np.diff(np.concatenate([[False], inside, [False]]).view(np.int8))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    runs = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[inside]))]).dictionary_encode()
+    return starts, runs.indices.to_numpy(), runs.dictionary

@@ -105,6 +105,21 @@ FILTER_AUDIT = r"""
         FROM r, unnest(range(1, 6)) AS u(i) GROUP BY ALL)
     SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM s"""
 
+COLLOCATIONS = r"""
+    WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+    w AS MATERIALIZED (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+    f AS MATERIALIZED (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM w, unnest(range(1, len(w) + 1)) AS u(i), unnest(range(1, 5)) AS v(m) WHERE i + m - 1 <= len(w) GROUP BY ALL),
+    totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+    c AS MATERIALIZED (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m >= 2 AND f >= 30),
+    cuts AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:m], ' ') AS y FROM c, unnest(range(1, 4)) AS u(k) WHERE k < m),
+    scored AS (SELECT cuts.lang, cuts.phrase, a, k, l.f AS l, r.f AS r, CAST(CAST(a AS HUGEINT) * 2000000 // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score
+        FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = x JOIN f r ON r.lang = cuts.lang AND r.phrase = y),
+    weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    covered AS (SELECT lang, array_to_string(w[i:i + n - 1], ' ') AS phrase, max(a) AS most FROM c, unnest(range(1, 4)) AS u(i), unnest(range(2, 4)) AS v(n) WHERE n < m AND i + n - 1 <= m GROUP BY ALL)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM weakest LEFT JOIN covered USING (lang, phrase) JOIN totals USING (lang) WHERE most IS NULL OR 100 * most < 80 * a QUALIFY rank <= 2000"""
+
 ORACLES = {
     "op1_embedding_near_dedup": NEAR_VECTORS,
     "op2_pii": PII,
@@ -113,4 +128,5 @@ ORACLES = {
     "op9_exact_top_k": TOP_K,
     "op10_secret_scan": SECRETS,
     "op11_filter_interaction_audit": FILTER_AUDIT,
+    "op12_phrase_collocations": COLLOCATIONS,
 }

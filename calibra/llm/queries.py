@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from calibra.llm.bpe import bpe_encode
+from calibra.llm.collocations import phrase_collocations
 from calibra.llm.common import table
+from calibra.llm.fertility import quality_rules
 from calibra.llm.filter_audit import filter_audit
 from calibra.llm.language import language_predictions
 from calibra.llm.maxscore import exact_top_k
@@ -65,8 +67,16 @@ def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_embedding_near_dedup, op2_pii, op3_bpe_round_trip, op4_ngram_jaccard_join, op5_language_id, op6_toxicity, op7_mix_sources, op8_quality, op9_exact_top_k, op10_secret_scan, op11_filter_interaction_audit)
+    found = (op1_embedding_near_dedup, op2_pii, op3_bpe_round_trip, op4_ngram_jaccard_join, op5_language_id, op6_toxicity, op7_mix_sources, op8_quality, op9_exact_top_k, op10_secret_scan, op11_filter_interaction_audit, op12_phrase_collocations, op13_quality_rules)
     return {f.__name__: f for f in found}
 
 
