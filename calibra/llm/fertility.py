@@ -255,7 +255,7 @@ def quality_rules(documents: DataFrame, vocabularies: tuple[str, str] | None = N
     judged, names = measured, fresh_names(measured, "band0", "band1", "band2")
     for i, name in enumerate(names):
         side = bands.select(F.col("key").alias(f"{name}_key"), F.col("band").alias(name))
-        judged = judged.join(F.broadcast(side) if n_bands <= 20_000 else side, F.element_at(F.array_append(_levels(), F.lit("")), F.lit(i + 1)) == F.col(f"{name}_key"), "left").drop(f"{name}_key")
+        judged = judged.join(F.broadcast(side) if n_bands <= 20_000 else side, F.get(_levels(), F.lit(i)) == F.col(f"{name}_key"), "left").drop(f"{name}_key")
     band = F.coalesce(*names)
     reasons = F.filter(F.array(*(F.when(_leaves(m, band[m]), F.lit(m)) for m in MEASURES)), lambda r: r.isNotNull())
     judged = judged.withColumn("base_failed", base_failed()).withColumn("rejected_by", reasons)
