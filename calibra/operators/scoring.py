@@ -1,8 +1,8 @@
 """Batch scoring: sequential models as grouped maps over time-ordered series.
 
 Point series are independent: one group is one series. Count series are scored many at a time:
-a group is one stream's shard of cells, whose models advance together window by window. The
-pooled count model couples the cells of one coarse region, so a group is one region.
+a group is one stream's shard of cells, whose models advance together window by window. Pooled
+counts are in operators.pooling.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calibra.models import continuous, count, presence, tdigest
-from calibra.models.pool import TreePool
 
 ROW = "stream_id string, cell string, bin_start long, q_value double, q_detect double, model_version int"
 
@@ -55,24 +54,6 @@ def score_counts(windows: DataFrame, width: int, cells_a_group: int = 256, par:
     return windows.select("stream_id", "cell", "win_start", "n", shard.alias("shard")).groupBy("stream_id", "shard").applyInPandas(run, ROW)
 
 
-def score_pooled(windows: DataFrame, width: int, coarsest: int = 1, rho: float = 0.1, par: count.CountParams = count.CountParams()) -> DataFrame:
-    """Quantiles of count windows of quadtree cells, pooled within each coarsest region."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        table = rows.pivot_table(index="win_start", columns="cell", values="n", aggfunc="sum", fill_value=0).sort_index()
-        stream, cells = rows["stream_id"].iloc[0], table.columns.tolist()
-        seeds = np.array([zlib.crc32(f"{stream}|{c}".encode()) for c in cells], np.uint64)
-        pool, parts, last = TreePool(cells, coarsest, rho, par), [], None
-        for ts, y in zip(table.index.tolist(), table.to_numpy(np.int64)):
-            lo, hi = pool.step(ts, y, width if last is None else ts - last)
-            last = ts
-            parts.append(pd.DataFrame({"stream_id": stream, "cell": cells, "bin_start": ts, "q_value": count.randomised(lo, hi, seeds, np.full(len(cells), pool.bank.windows[0])), "q_detect": count.conservative(lo, hi), "model_version": 100 + count.VERSION}))
-        return pd.concat(parts)
-
-    region = F.substring("cell", 1, coarsest + 1)
-    return windows.select("stream_id", "cell", "win_start", "n", region.alias("region")).groupBy("stream_id", "region").applyInPandas(run, ROW)
-
-
 def score_presence(slots: DataFrame) -> DataFrame:
     """Silence quantile of each polled slot of a component (component, slot, reported)."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from calibra.functions import geo
 from calibra.functions.bins import epoch, floor_to
 from calibra.models.continuous import ContinuousParams
-from calibra.operators import calibration, fold, presence, scoring, series
+from calibra.operators import calibration, fold, pooling, presence, scoring, series
 from calibra.plans.registry import query
 from calibra.plans.tables import FLAVOR, NOW, health, obs, read
 
@@ -32,7 +32,7 @@ def count_model_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tree_pool_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = geo.quad_cell(F.col("user_id") % 90 + 0.5, F.col("event_id") % 360 - 180.0, 2)
     o = read(spark, sf_dir, "events").where(F.col("event_type").isin(*COUNTS)).select(F.col("event_type").alias("stream_id"), cell.alias("cell"), epoch("ts").alias("ts"))
-    return scoring.score_pooled(fold.native_windows(o, 86400, NOW - 28 * 86400, NOW), 86400)
+    return pooling.score_pooled(fold.native_windows(o, 86400, NOW - 28 * 86400, NOW), 86400)
 
 
 @query()
