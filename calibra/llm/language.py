@@ -1,10 +1,15 @@
 """Language identification with string kernels.
 
-A text is described by the presence of byte n-grams of several lengths (a blended spectrum),
-taken from its lower-case form over the whole text, landmarks too. The kernel of two texts is the cosine of
-their presence vectors. Landmarks are a bounded, documented sample of training texts; the
-Nyström map k(x, landmarks) K^(-1/2) turns a batch of texts into a small dense matrix by one
-matrix product. One-versus-rest kernel ridge regression needs only the sums Z'Z and Z'Y over
+A text is cut into blocks of about equal length. A block is described by the presence of byte
+n-grams of several lengths (a blended spectrum) in lower case, and the kernel of two blocks is
+the cosine of their presence vectors. Landmarks are blocks of a bounded, documented sample of
+training texts; n-grams are told apart by their bytes, and those of the landmarks are the
+vocabulary: what no landmark has can't be mistaken for what one has. The Nyström map
+k(x, landmarks) K^(-1/2) takes a batch of blocks to landmark coordinates by one matrix product.
+A text is the mean of its blocks, each weighted by the fourth power of its familiarity, the
+share of its longest n-grams that the vocabulary knows; so an image in base64 or a table of
+numbers, however long, hardly moves the text around it, and a long text is described as sharply
+as a short one. One-versus-rest kernel ridge regression needs only the sums Z'Z and Z'Y over
 all training texts, which the tasks add up; scores are another matrix product.
 """
 
@@ -22,61 +27,134 @@ from calibra.llm.folds import in_fold
 from calibra.llm.shingles import mix
 
 #: Landmarks (one of each language at least), n-gram lengths, ridge weight, languages at most (more are an error).
-LANDMARKS, LENGTHS, RIDGE, MOST_LANGUAGES = 160, (1, 2, 3, 4), 1e-3, 4_096
+LANDMARKS, LENGTHS, RIDGE, MOST_LANGUAGES = 160, (1, 2, 3, 4), 1e-3, 512
 #: Parts of a language whose landmarks are ranked apart.
 PARTS = 64
-#: Bytes whose n-grams are taken at once.
-STEP = 1 << 18
-#: Different n-grams that a description keeps apart.
-SLOTS = 1 << 15
+#: Bytes of a block, about; blocks mapped by one product; power and floor of the familiarity that weights a block.
+BLOCK, TOGETHER, POWER, FLOOR = 4096, 64, 4, 1e-3
 UNKNOWN = "und"
 
 
-def presence(text: str, lengths: tuple[int, ...] = LENGTHS) -> np.ndarray:
-    """Ascending slots of the n-grams of a text's lower-case UTF-8 bytes."""
-    whole = np.frombuffer((" " + text.lower() + " ").encode(), np.uint8)
-    seen = np.zeros(SLOTS, bool)
-    for at in range(0, len(whole), STEP):  # slices overlap by all but one byte of the longest n-gram
-        b = whole[at : at + STEP + max(lengths) - 1].astype(np.uint64)
-        code = np.zeros(len(b), np.uint64)
-        for n in range(1, max(lengths) + 1):
-            if len(b) < n:
-                break
+def blocks_of(text: str) -> list[np.ndarray]:
+    """Bytes of the lower-case text, a space before and after it, in blocks of about BLOCK bytes."""
+    whole = np.frombuffer((" " + text.lower() + " ").encode("utf-8", "surrogatepass"), np.uint8)
+    n = max(1, round(len(whole) / BLOCK))
+    cuts = [len(whole) * i // n for i in range(n + 1)]
+    return [whole[i:j] for i, j in zip(cuts, cuts[1:])]
+
+
+def gram_codes(block: np.ndarray, lengths: tuple[int, ...] = LENGTHS) -> list[np.ndarray]:
+    """Code of the n-gram at each place of a block, for each length: its bytes and its length, so no two share one."""
+    b, code, out = block.astype(np.uint64), np.zeros(len(block), np.uint64), []
+    for n in range(1, max(lengths) + 1):
+        if len(b) < n:
+            code = code[:0]
+        else:
             code = (code[: len(b) - n + 1] << np.uint64(8)) | b[n - 1 :]
-            if n in lengths:
-                with np.errstate(over="ignore"):
-                    seen[(mix(code + np.uint64(n << 40)) % np.uint64(SLOTS)).astype(np.int64)] = True
-    return np.flatnonzero(seen)
+        if n in lengths:
+            out.append(code | np.uint64(n << 40))
+    return out
+
+
+def presence(block: np.ndarray) -> np.ndarray:
+    """Ascending codes of the different n-grams of a block."""
+    return np.unique(np.concatenate(gram_codes(block)))
+
+
+class Vocabulary:
+    """Numbers of known codes, in an open hash table a quarter full at most."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        self.codes = codes
+        self.mask = np.uint64((1 << max(4, int(4 * len(codes) - 1).bit_length())) - 1)
+        self.table = np.full(int(self.mask) + 1, -1, np.int32)
+        left, at = np.arange(len(codes)), self._home(codes)
+        while len(left):
+            free = self.table[at] < 0
+            self.table[at[free]] = left[free]  # of several for one place the last stays
+            lost = self.table[at] != left
+            left, at = left[lost], (at[lost] + 1) & int(self.mask)
+
+    def _home(self, codes: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (mix(codes) & self.mask).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """Number of each code, -1 for an unknown one."""
+        at = self._home(codes)
+        found = self.table[at]
+        other = np.flatnonzero((found >= 0) & (self.codes[found] != codes))
+        while len(other):
+            at[other] = (at[other] + 1) & int(self.mask)
+            found[other] = self.table[at[other]]
+            other = other[(found[other] >= 0) & (self.codes[found[other]] != codes[other])]
+        return found
 
 
 class Nystroem:
     """Map of texts onto landmark coordinates."""
 
     def __init__(self, landmarks: list[np.ndarray]) -> None:
-        """landmarks: the slots of each landmark text."""
-        rows = np.zeros((len(landmarks), SLOTS), np.float32)
+        """landmarks: the ascending codes of each landmark block."""
+        self.vocabulary = Vocabulary(np.unique(np.concatenate(landmarks)))
+        self.has = np.zeros((len(self.vocabulary.codes), len(landmarks)), np.uint8)
         for i, own in enumerate(landmarks):
-            rows[i, own] = 1 / np.sqrt(max(1, len(own)))
-        used = np.flatnonzero(rows.any(0))
-        self.column = np.full(SLOTS, -1, np.int64)
-        self.column[used] = np.arange(len(used))
-        self.landmarks = np.ascontiguousarray(rows[:, used])
-        value, vector = np.linalg.eigh((self.landmarks @ self.landmarks.T).astype(np.float64))
+            self.has[np.searchsorted(self.vocabulary.codes, own), i] = 1
+        self.norm = np.sqrt(np.array([len(x) for x in landmarks], float))
+        shared = np.zeros((len(landmarks), len(landmarks)))
+        for at in range(0, len(self.has), 1 << 16):
+            part = self.has[at : at + (1 << 16)].astype(np.float32)
+            shared += part.T @ part
+        value, vector = np.linalg.eigh(shared / np.outer(self.norm, self.norm))
         keep = value > 1e-6 * value[-1]
         self.root = vector[:, keep] / np.sqrt(value[keep])
 
+    def kernel(self, blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(kernel of each block with each landmark, familiarity of each block)."""
+        found, familiar = [], np.zeros(len(blocks))
+        for i, block in enumerate(blocks):
+            numbers = [self.vocabulary.find(codes) for codes in gram_codes(block)]
+            longest = next((x for x in reversed(numbers) if len(x)), numbers[0])
+            familiar[i] = (longest >= 0).mean() if len(longest) else 0.0
+            seen = np.zeros(len(self.vocabulary.codes), bool)
+            for x in numbers:
+                seen[x[x >= 0]] = True
+            found.append(np.flatnonzero(seen))
+        lengths = np.array([len(x) for x in found])
+        used, column = np.unique(np.concatenate(found), return_inverse=True)
+        rows = np.zeros((len(blocks), len(used)), np.float32)
+        rows[np.repeat(np.arange(len(blocks)), lengths), column] = 1
+        shared = (rows @ self.has[used].astype(np.float32)).astype(np.float64)
+        return shared / np.outer(np.sqrt(np.maximum(lengths, 1)), self.norm), familiar
+
     def map(self, texts: list[str]) -> np.ndarray:
         """One row of coordinates a text, with a last column of ones."""
-        out = []
-        for at in range(0, len(texts), 256):
-            part = texts[at : at + 256]
-            rows = np.zeros((len(part), self.landmarks.shape[1]), np.float32)
-            for i, t in enumerate(part):
-                own = presence(t)
-                cols = self.column[own]
-                rows[i, cols[cols >= 0]] = 1 / np.sqrt(max(1, len(own)))
-            out.append(np.hstack([(rows @ self.landmarks.T) @ self.root, np.ones((len(part), 1))]))
-        return np.concatenate(out) if out else np.zeros((0, self.root.shape[1] + 1))
+        out, held, owners = np.zeros((len(texts), self.root.shape[1])), [], []
+        total = np.zeros(len(texts))
+
+        def flush() -> None:
+            kernel, familiar = self.kernel(held)
+            weight, who = np.maximum(familiar, FLOOR) ** POWER, np.array(owners)
+            np.add.at(out, who, weight[:, None] * (kernel @ self.root))
+            np.add.at(total, who, weight)
+            held.clear()
+            owners.clear()
+
+        for i, text in enumerate(texts):
+            for block in blocks_of(text):
+                held.append(block)
+                owners.append(i)
+                if len(held) == TOGETHER:
+                    flush()
+        if held:
+            flush()
+        return np.hstack([out / np.maximum(total, 1e-300)[:, None], np.ones((len(texts), 1))])
+
+
+def _landmark(text: str, key: int) -> bytes:
+    """Codes of the block of a text that its key names."""
+    blocks = blocks_of(text)
+    return presence(blocks[key % len(blocks)]).tobytes()
 
 
 def fit_languages(docs: DataFrame, mod: int, rest: int, n_landmarks: int = LANDMARKS) -> tuple[Nystroem, np.ndarray, list[str]] | None:
@@ -97,28 +175,29 @@ def fit_languages(docs: DataFrame, mod: int, rest: int, n_landmarks: int = LANDM
 
     def described(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, "text", 2 << 20):
-            slots = [presence(t).astype(np.int16).tobytes() for t in texts_of(batch)]
-            yield pa.record_batch([batch.column("lang"), batch.column("key"), pa.array(slots, pa.binary())], names=["lang", "key", "slots"])
+            codes = [_landmark(t, k) for t, k in zip(texts_of(batch), batch.column("key").to_pylist())]
+            yield pa.record_batch([batch.column("lang"), batch.column("key"), pa.array(codes, pa.binary())], names=["lang", "key", "codes"])
 
-    chosen = keyed.where(F.col("key").isin(picked)).mapInArrow(described, "lang string, key long, slots binary").groupBy("lang", "key").agg(F.min("slots").alias("slots"))
-    net = Nystroem([np.frombuffer(r.slots, np.int16).astype(np.int64) for r in sorted(chosen.collect(), key=lambda r: (r.lang, r.key))])
+    chosen = keyed.where(F.col("key").isin(picked)).mapInArrow(described, "lang string, key long, codes binary").groupBy("lang", "key").agg(F.min("codes").alias("codes"))
+    net = Nystroem([np.frombuffer(r.codes, np.uint64) for r in sorted(chosen.collect(), key=lambda r: (r.lang, r.key))])
     width, number = net.root.shape[1] + 1, {x: i for i, x in enumerate(languages)}
+    shared = docs.sparkSession.sparkContext.broadcast(net)  # 160 blocks of 4 kB, or one a language, bound its size
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zz, zy = np.zeros((width, width)), np.zeros((width, len(languages)))
+        sums = np.zeros((width, width + len(languages)))
         for batch in batches_of(batches, "text", 2 << 20):
-            z = net.map(texts_of(batch))
+            z = shared.value.map(texts_of(batch))
             y = -np.ones((len(z), len(languages)))
             for i, lang in enumerate(batch.column("lang").to_pylist()):
-                if lang in number:
-                    y[i, number[lang]] = 1
-            zz += z.T @ z
-            zy += z.T @ y
-        yield pa.record_batch([pa.array(np.arange(width)), pa.array(list(zz), pa.list_(pa.float64())), pa.array(list(zy), pa.list_(pa.float64()))], names=["i", "zz", "zy"])
-
-    add = lambda c, n: F.array(*[F.sum(F.col(c)[j]) for j in range(n)]).alias(c)
-    sums = rows.select("text", "lang").mapInArrow(run, "i long, zz array<double>, zy array<double>").groupBy("i").agg(add("zz", width), add("zy", len(languages))).orderBy("i").collect()
-    zz, zy = np.array([r.zz for r in sums]), np.array([r.zy for r in sums])
+                y[i, number[lang]] = 1
+            sums += z.T @ np.hstack([z, y])
+        i, j = np.indices(sums.shape)
+        yield pa.record_batch([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(sums.ravel())], names=["i", "j", "v"])
+
+    added = rows.select("text", "lang").mapInArrow(run, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toArrow()
+    sums = np.zeros((width, width + len(languages)))
+    sums[added["i"].to_numpy(), added["j"].to_numpy()] = added["v"].to_numpy()
+    zz, zy = sums[:, :width], sums[:, width:]
     return net, np.linalg.solve(zz + RIDGE * max(1.0, zz[-1, -1]) * np.eye(width) / width, zy), languages
 
 
@@ -131,14 +210,15 @@ def language_predictions(docs: DataFrame, mod: int = 3, rest: int = 1, n_landmar
     they go in, repeated ones too; doc_id may be null; other columns are ignored; an empty
     table gives an empty result."""
     fitted = fit_languages(docs, mod, rest, n_landmarks)
+    shared = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(rows, "text", 2 << 20):
             texts = texts_of(batch)
             lettered = [any(map(str.isalpha, t)) for t in texts]
             lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            if fitted:
-                net, weights, languages = fitted
+            if shared.value:
+                net, weights, languages = shared.value
                 margin = net.map(texts) @ weights
                 best = margin.argmax(1)
                 odds = np.exp(4 * (margin - margin.max(1, keepdims=True)))

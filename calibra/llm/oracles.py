@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from calibra.llm.secrets import PRIVATE_KEY
+
 # The added kinds of op10, as plain patterns. The first group of web_token is the
 # character before the token, which isn't part of it.
 _SECRETS = (
-    ("private_key", r"-----BEGIN (?:RSA |EC |OPENSSH |DSA |)PRIVATE KEY-----"),
+    ("private_key", PRIVATE_KEY),
     ("web_token", r"(^|[^A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     ("repo_token", r"(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}"),
     ("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),

@@ -36,6 +36,11 @@ class Rule:
     base: bool = True
 
 
+_BREAK, _KEY = r"(?:[\x20\t\r\n]|\\[rn])", "(?:RSA |EC |OPENSSH |DSA |ENCRYPTED |)PRIVATE KEY-----"
+#: A key from its first line to its last: headers, lines of base64, with line breaks or their
+#: escapes between them. Of a key that is cut off, the lines that are there.
+PRIVATE_KEY = f"-----BEGIN {_KEY}(?:{_BREAK}+[A-Za-z-]+:\\x20[^\\r\\n]*)*(?:{_BREAK}+[A-Za-z0-9+/=]{{16,}})*(?:{_BREAK}*[A-Za-z0-9+/=]*{_BREAK}*-----END {_KEY})?"
+
 # The base kinds, then the kinds that the method adds. A match of hex is a whole
 # run of its characters, so its least length can stand in the pattern. The added patterns are
 # possessive, begin at the edge of a run or have parts of bounded length, so that a long run
@@ -44,7 +49,7 @@ RULES = (
     Rule("assign", r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6, 2),
     Rule("access", r"AKIA[A-Z0-9]+", 20),
     Rule("hex", r"[0-9a-f]{24,}", 24),
-    Rule("private_key", r"-----BEGIN (?:RSA |EC |OPENSSH |DSA |)PRIVATE KEY-----", 1, 0, False),
+    Rule("private_key", PRIVATE_KEY, 1, 0, False),
     Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", 1, 0, False),
     Rule("repo_token", r"(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}", 1, 0, False),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}", 1, 0, False),
@@ -204,6 +209,9 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]")
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """docs with the secrets in its text replaced by a mark and n_chars recounted where text changed.
 
+    The body of a private key goes with its first and last line; of a URL with a login, the
+    login, the scheme and the host go together.
+
     All columns stay, in their order and types, whatever other names they have; texts without a
     secret stay as they are, null ones null. Repeated rows are treated alike; an empty table gives an empty result."""
     at, count = docs.columns.index(text), docs.columns.index(n_chars) if n_chars in docs.columns else None
