@@ -39,7 +39,7 @@ class Rule:
 _BREAK, _KEY = r"(?:[\x20\t\r\n]|\\[rn])", "(?:RSA |EC |OPENSSH |DSA |ENCRYPTED |)PRIVATE KEY-----"
 #: A key from its first line to its last: headers, lines of base64, with line breaks or their
 #: escapes between them. Of a key that is cut off, the lines that are there.
-PRIVATE_KEY = f"-----BEGIN {_KEY}(?:{_BREAK}+[A-Za-z-]+:\\x20[^\\r\\n]*)*(?:{_BREAK}+[A-Za-z0-9+/=]{{16,}})*(?:{_BREAK}*[A-Za-z0-9+/=]*{_BREAK}*-----END {_KEY})?"
+PRIVATE_KEY = f"-----BEGIN {_KEY}(?:{_BREAK}+[A-Za-z-]+:\\x20[^\\r\\n\\\\]*)*(?:{_BREAK}+[A-Za-z0-9+/=]{{16,}})*(?:{_BREAK}*(?:[A-Za-z0-9+/=]+{_BREAK}*)?-----END {_KEY})?"
 
 # The base kinds, then the kinds that the method adds. A match of hex is a whole
 # run of its characters, so its least length can stand in the pattern. The added patterns are

@@ -295,22 +295,55 @@ def test_languages_on_held_out_rows(spark):
 
 
 def test_language_scores_equal_plain_kernels(spark):
-    """The ridge regression on explicit kernels of plain n-gram sets gives the same languages and scores."""
+    """Kernels of plain n-gram sets and ridge regression solved in the dual give the same languages and scores."""
     from calibra.llm import language
 
     docs = table(spark, "documents")
-    net, weights, languages = language.fit_languages(docs, 3, 1)
-    rows = docs.limit(60).collect()
+    net, _, languages = language.fit_languages(docs, 3, 1)
+    marks = [{int(c) for c in net.vocabulary.codes[net.has[:, i] > 0]} for i in range(net.has.shape[1])]
+    known = set().union(*marks)
+
+    def row(text):
+        low = (" " + text.lower() + " ").encode()
+        n = max(1, round(len(low) / 4096))
+        total, weights = np.zeros(len(marks)), 0.0
+        for part in (low[len(low) * i // n : len(low) * (i + 1) // n] for i in range(n)):
+            grams = [[(k << 40) + int.from_bytes(part[i : i + k], "big") for i in range(len(part) - k + 1)] for k in (1, 2, 3, 4)]
+            seen = known & set().union(*grams)
+            longest = [x for x in grams if x][-1]
+            weight = max(1e-3, sum(x in known for x in longest) / len(longest)) ** 4
+            total += weight * np.array([len(seen & m) / np.sqrt(max(1, len(seen)) * len(m)) for m in marks])
+            weights += weight
+        return total / weights
+
+    rows = docs.collect()
+    train = [r for r in rows if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    test = [r for r in rows if any(map(str.isalpha, r.text or ""))][:80]
+    c, t = np.array([row(r.text) for r in train]), np.array([row(r.text) for r in test])
+    between = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in marks] for a in marks])
+    inner = np.linalg.pinv(between, rcond=1e-6, hermitian=True)
+    ridge = 1e-3 * len(train) / (np.linalg.matrix_rank(between, tol=1e-6 * np.linalg.norm(between, 2), hermitian=True) + 1)
+    y = np.array([[1.0 if r.lang == x else -1.0 for x in languages] for r in train])
+    margin = (t @ inner @ c.T + 1) @ np.linalg.solve(c @ inner @ c.T + 1 + ridge * np.eye(len(train)), y)
+    score = 1 / np.exp(4 * (margin - margin.max(1, keepdims=True))).sum(1)
     got = {r.doc_id: r for r in language.language_predictions(docs).collect()}
-    for r in rows:
-        low = (" " + (r.text or "").lower() + " ").encode()
-        grams = {(n, low[i : i + n]) for n in (1, 2, 3, 4) for i in range(len(low) - n + 1)}
-        with np.errstate(over="ignore"):
-            slots = {int(language.mix(np.array([int.from_bytes(g, "big") + (n << 40)], np.uint64))[0] % language.SLOTS) for n, g in grams}
-        assert sorted(slots) == language.presence(r.text or "").tolist()
-        margin = net.map([r.text or ""]) @ weights
-        if any(map(str.isalpha, r.text or "")):
-            assert got[r.doc_id].lang_pred == languages[int(margin.argmax())] and 0 <= got[r.doc_id].score <= 1
+    assert [got[r.doc_id].lang_pred for r in test] == [languages[i] for i in margin.argmax(1)]
+    assert np.allclose([got[r.doc_id].score for r in test], score, atol=1e-6)
+
+
+def test_noise_does_not_change_the_language(spark):
+    """Images in base64 behind a text, however long, and long texts leave its language."""
+    import base64
+
+    from calibra.llm.language import language_predictions
+
+    docs = table(spark, "documents").select("doc_id", "text", "lang")
+    texts = {x: [r.text for r in docs.where(f"lang = '{x}' and length(text) > 500").orderBy("doc_id").limit(40).collect()] for x in ("de", "fr", "es")}
+    noise = base64.b64encode(np.random.default_rng(3).bytes(90_000)).decode()
+    rows = [(10**6 + 100 * k + i, text + " " + noise[:n], None, x) for k, (x, some) in enumerate(texts.items()) for i, (text, n) in enumerate([*((t, n) for t in some[:3] for n in (0, 2_000, 8_000, 30_000, 120_000)), ("\n".join(some * 20)[:1_000_000], 100_000)])]
+    odd = spark.createDataFrame([r[:3] for r in rows], docs.schema)
+    got = {r.doc_id: r for r in language_predictions(docs.unionByName(odd)).collect()}
+    assert all(got[r[0]].lang_pred == r[3] for r in rows)
 
 
 def test_components(spark):

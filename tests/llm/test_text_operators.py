@@ -329,3 +329,15 @@ def test_empty_tables(spark, none):
         assert out.count() == 0
     for out in (bpe_encode(none), language_predictions(none), mix_plan(none), ngram_jaccard_classes(none), quality_scores(none, labels), secret_digest(none), toxicity_scores(none, labels)):
         assert out.count() == 0
+
+
+def test_private_keys_are_masked_to_their_last_line(spark):
+    """Body, headers and END line go with the BEGIN line, with escaped line breaks too; text around a key stays."""
+    from calibra.llm.secrets import redact_secrets
+
+    body = "\n".join(["MIIEowIBAAKCAQEA" + "q7Zx" * 12] * 5)
+    key = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{body}\nshort==\n-----END RSA PRIVATE KEY-----"
+    texts = [f"x {key} y", "x " + key.replace("\n", "\\n") + " y", f"x {key} y {key} z", "x -----BEGIN PRIVATE KEY-----\n" + body + "\nand prose goes on", "-----BEGIN PRIVATE KEY----- only its name", "-----BEGIN PRIVATE KEY-----" + "\n " * 300_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in redact_secrets(docs).collect()}
+    assert [got[i] for i in range(5)] == ["x [SECRET] y", "x [SECRET] y", "x [SECRET] y [SECRET] z", "x [SECRET]\nand prose goes on", "[SECRET] only its name"] and got[5] == "[SECRET]" + "\n " * 300_000
