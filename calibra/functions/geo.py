@@ -131,3 +131,20 @@ def homes(text: Column) -> Column:
     """Points of a setting 'lat,lon; lat,lon'; pairs that can't be read are left out."""
     pairs = F.transform(F.split(text, ";"), lambda p: F.transform(F.split(p, ","), lambda x: F.trim(x).try_cast("double")))
     return F.filter(pairs, lambda p: (F.size(p) == 2) & F.get(p, F.lit(0)).isNotNull() & F.get(p, F.lit(1)).isNotNull())
+
+
+# Fixed values of the geostationary projection, in metres: half axes of the ellipsoid, height of the satellite over the Earth's centre.
+MAJOR, MINOR, HEIGHT = 6378137.0, 6356752.31414, 42164160.0
+
+
+def fixed_grid(x: Column, y: Column, lon0: float, major: float = MAJOR, minor: float = MINOR, height: float = HEIGHT) -> Column:
+    """(lat, lon) seen at the scan angles x (east) and y (north), in radians, from over lon0 on the equator; null off the disc."""
+    flat = (major / minor) ** 2
+    a = F.sin(x) * F.sin(x) + F.cos(x) * F.cos(x) * (F.cos(y) * F.cos(y) + flat * F.sin(y) * F.sin(y))
+    half = height * F.cos(x) * F.cos(y)
+    root = half * half - a * (height**2 - major**2)
+    away = (half - F.sqrt(root)) / a
+    inward, east, north = height - away * F.cos(x) * F.cos(y), away * F.sin(x), away * F.cos(x) * F.sin(y)
+    lat = F.degrees(F.atan(flat * north / F.sqrt(inward * inward + east * east)))
+    lon = wrap_longitude(lon0 + F.degrees(F.atan(east / inward)))
+    return F.when(root >= 0, F.struct(lat.alias("lat"), lon.alias("lon")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from calibra.functions.pit import detection_q, surprisal, tail_extremity, tail_p
+from calibra.functions.pit import detection_q, surprisal, tail_extremity
 from calibra.operators.series import cusum, quota
 
 # Fixed values of the policies.
@@ -68,37 +68,12 @@ def every_event(seen: DataFrame, alerts: DataFrame, now: int, fresh: int, cooldo
     return open_.withColumn("_i", F.row_number().over(Window.partitionBy("stream_id", "region").orderBy("ts", "cell"))).where("_i = 1").drop("_i")
 
 
-def alert_scores(evidence: DataFrame) -> DataFrame:
-    """Score of each alert: best -log10 p of each (stream, cell), summed, times the different modalities.
-
-    evidence: alert_id, stream_id, cell, modality, q, tail."""
-    best = evidence.where("q is not null").withColumn("e", -F.log10(F.greatest(tail_p(F.col("q"), F.col("tail")), F.lit(LEAST_LOG_P)))).groupBy("alert_id", "stream_id", "cell", "modality").agg(F.max("e").alias("e"))
-    n = F.count_distinct("modality")
-    return best.groupBy("alert_id").agg((F.sum("e") * F.when(n >= 2, n).otherwise(1)).alias("score"), n.alias("modalities"), F.count_distinct("cell").alias("cells"))
-
-
-def stage(score: Column, modalities: Column, extreme: float = EXTREME) -> Column:
-    """0 a candidate, 1 corroborated, 2 extreme."""
-    return F.when((score >= extreme) & (modalities >= 2), 2).when(modalities >= 2, 1).otherwise(0)
-
-
 def provisional(scored: DataFrame, corroborated_: DataFrame, alerts: DataFrame, now: int, least: float = PROVISIONAL, most_regions: int = MOST_REGIONS) -> DataFrame:
     """Single strong candidates (stream_id, region, score) that no other policy has taken, severity 0.6."""
     strong = scored.where(F.col("score") >= least).withColumn("regions", F.count("*").over(Window.partitionBy("stream_id"))).where(F.col("regions") <= most_regions)
     return _not_since(strong.join(corroborated_.select("region"), "region", "left_anti"), alerts, now - COOLDOWN).withColumn("severity", F.lit(0.6))
 
 
-def escalated(alerts: DataFrame, candidates_: DataFrame, now: int) -> DataFrame:
-    """Open young alerts whose stage rises when they absorb new candidates of their region.
-
-    alerts: alert_id, region, opened_at, status, stage, streams; candidates: region, stream_id, modality, e."""
-    young = alerts.where((F.col("status") == "open") & (F.col("opened_at") > now - ESCALATE) & (F.col("stage") < 2))
-    new = young.join(candidates_, "region").where(~F.array_contains("streams", F.col("stream_id")))
-    n = F.count_distinct("modality")
-    risen = new.groupBy("alert_id", "stage").agg((F.sum("e") * F.when(n >= 2, n).otherwise(1)).alias("score"), n.alias("modalities"), F.array_sort(F.collect_set("stream_id")).alias("added"))
-    return risen.withColumn("new_stage", stage(F.col("score"), F.col("modalities"))).where(F.col("new_stage") > F.col("stage"))
-
-
 def harm_level(value: Column, thresholds: list[float], below: bool = False) -> Column:
     """How many thresholds a reading has reached."""
     reached = [(value <= t if below else value >= t).cast("int") for t in thresholds]

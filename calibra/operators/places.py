@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibra.functions.geo import haversine
+from calibra.operators import nearby
 
 
 def _edges(outlines: DataFrame) -> DataFrame:
@@ -32,11 +32,9 @@ def containing(points: DataFrame, outlines: DataFrame) -> DataFrame:
 def nearest(points: DataFrame, outlines: DataFrame, kind: str, within_km: float) -> DataFrame:
     """(point_id, near): the outline of a kind with the closest outline point within a distance.
 
-    Points meet the outline points of strips that the distance can reach."""
-    reach = int(within_km / 111.0) + 1
-    corners = outlines.where(F.col("kind") == kind).select("name", "ord", F.explode("ring").alias("p")).select("name", "ord", F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.floor("p.y").alias("strip"))
-    asks = points.withColumn("strip", F.explode(F.sequence(F.floor("lat") - reach, F.floor("lat") + reach)))
-    close = asks.join(corners, "strip").withColumn("km", haversine(F.col("lat"), F.col("lon"), F.col("y"), F.col("x"))).where(F.col("km") <= within_km)
+    Points meet the outline points of the cells that the distance can reach."""
+    corners = outlines.where(F.col("kind") == kind).select("name", "ord", F.explode("ring").alias("p")).select("name", "ord", F.col("p.x").alias("to_lon"), F.col("p.y").alias("to_lat"))
+    close = nearby.within_km(points.select("point_id", "lat", "lon"), corners, within_km)
     return close.groupBy("point_id").agg(F.min_by("name", F.struct("km", "ord")).alias("near"))
 
 

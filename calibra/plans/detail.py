@@ -10,9 +10,9 @@ from calibra.operators import detail, landing, places, sweep
 from calibra.plans.registry import query
 from calibra.plans.tables import NOW, health, lookup, obs, read, regions, surprise, with_tables
 
-_EVIDENCE = """, ev AS (SELECT event_id % 300 AS alert_id, stream_id, cell, CASE stream_id WHEN 'click' THEN 'informational' WHEN 'view' THEN 'informational' WHEN 'purchase' THEN 'economic' WHEN 'signup' THEN 'economic' ELSE 'infrastructural' END AS modality,
+_EVIDENCE = """, ev AS (SELECT {alert} AS alert_id, stream_id, cell, CASE stream_id WHEN 'click' THEN 'informational' WHEN 'view' THEN 'informational' WHEN 'purchase' THEN 'economic' WHEN 'signup' THEN 'economic' ELSE 'infrastructural' END AS modality,
   CASE stream_id WHEN 'click' THEN 'web' WHEN 'view' THEN 'web' WHEN 'error' THEN NULL ELSE 'shop' END AS class, CASE WHEN event_id % 41 = 0 THEN NULL ELSE coalesce(q_value, presence_q) END AS q, CASE stream_id WHEN 'click' THEN 'upper' WHEN 'error' THEN 'lower' END AS tail,
-  CASE WHEN event_id % 83 = 0 THEN 'source_alert' END AS kind, CASE WHEN stream_id = 'view' THEN 7e0 END AS push_score, stream_id = 'error' AS extreme, CASE WHEN stream_id = 'error' THEN 2 END AS min_sensors FROM surprise WHERE {where}),
+  CASE WHEN event_id % 83 = 0 THEN 'source_alert' END AS kind, CASE WHEN stream_id = 'view' THEN 7e0 END AS push_score, stream_id = 'error' AS extreme, CASE WHEN stream_id = 'error' THEN 2 END AS min_sensors FROM {source} WHERE {where}),
  f AS (SELECT *, coalesce(kind = 'source_alert', false) AS issued, CASE WHEN class IS NULL THEN false ELSE max(coalesce(kind = 'source_alert', false)) OVER (PARTITION BY alert_id, class) END AS restated,
   greatest(least(greatest(CASE tail WHEN 'upper' THEN 1 - q WHEN 'lower' THEN q ELSE 2 * least(q, 1 - q) END, 1e-300), 1e0), 1e-15) AS p, CASE tail WHEN 'upper' THEN 1 - q WHEN 'lower' THEN q ELSE least(q, 1 - q) END AS one FROM ev),
  c AS (SELECT alert_id, stream_id, cell, max(CASE WHEN q IS NOT NULL AND NOT restated THEN -log10(p) END) AS e, sum(CASE WHEN issued AND q IS NULL THEN coalesce(push_score, 5e0) END) AS feed, max(issued) AS issued, max(coalesce(NOT issued AND extreme AND one <= {q_tail}, false)) AS strong, max(coalesce(min_sensors, 1)) AS need FROM f GROUP BY ALL),
@@ -22,11 +22,11 @@ _EVIDENCE = """, ev AS (SELECT event_id % 300 AS alert_id, stream_id, cell, CASE
  scored AS (SELECT alert_id, score, CAST(modalities AS INTEGER) AS modalities, confirmed, CAST(CASE WHEN NOT confirmed THEN 0 WHEN score >= 15 THEN 2 ELSE 1 END AS INTEGER) AS stage FROM t)"""
 
 
-def _evidence_sql(where: str, q_tail: float) -> str:
-    return _EVIDENCE.replace("{where}", where).replace("{q_tail}", str(q_tail))
+def evidence_sql(where: str, q_tail: float, alert: str = "event_id % 300", source: str = "surprise") -> str:
+    return _EVIDENCE.replace("{where}", where).replace("{q_tail}", str(q_tail)).replace("{alert}", alert).replace("{source}", source)
 
 
-def _evidence(spark: SparkSession, sf_dir: str, q_tail: float) -> DataFrame:
+def made_evidence(spark: SparkSession, sf_dir: str, q_tail: float) -> DataFrame:
     """Evidence of 300 alerts made from the surprise rows."""
     from calibra.plans.tables import MODALITY
 
@@ -38,25 +38,29 @@ def _evidence(spark: SparkSession, sf_dir: str, q_tail: float) -> DataFrame:
     )
 
 
-@query(with_tables(_evidence_sql("event_id % 300 < 150 OR stream_id = 'error'", 0.01) + " SELECT alert_id, round(score, 6) AS score, modalities, confirmed, stage FROM scored", "surprise"))
+_MIXED = "CASE WHEN event_id % 300 < 150 OR stream_id = 'error' THEN event_id % 300 ELSE 300 + event_id % 150 END"
+
+
+@query(with_tables(evidence_sql("true", 0.01, _MIXED) + " SELECT alert_id, round(score, 6) AS score, modalities, confirmed, stage FROM scored", "surprise"))
 def whole_evidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _evidence(spark, sf_dir, 0.01).where("event_id % 300 < 150 or stream_id = 'error'").drop("event_id")
+    """Scores of alerts with all streams, with errors alone, and with all but errors."""
+    ev = made_evidence(spark, sf_dir, 0.01).withColumn("alert_id", F.expr(_MIXED)).drop("event_id")
     return sweep.scores(ev).withColumn("score", F.round("score", 6))
 
 
-@query(with_tables(_evidence_sql("event_id % 300 < 100 AND stream_id = 'error'", 0.01) + ", al AS (SELECT i AS alert_id FROM range(0, 120) x(i)) SELECT al.alert_id, round(coalesce(score, 0), 6) AS score, CAST(CASE WHEN stage IS NULL THEN -1 ELSE greatest(stage, CASE WHEN al.alert_id % 5 = 0 THEN 2 ELSE 0 END) END AS INTEGER) AS stage FROM al LEFT JOIN scored USING (alert_id)", "surprise"))
+@query(with_tables(evidence_sql("event_id % 300 < 100 AND stream_id = 'error'", 0.01) + ", al AS (SELECT i AS alert_id FROM range(0, 120) x(i)) SELECT al.alert_id, round(coalesce(score, 0), 6) AS score, CAST(CASE WHEN stage IS NULL THEN -1 ELSE greatest(stage, CASE WHEN al.alert_id % 5 = 0 THEN 2 ELSE 0 END) END AS INTEGER) AS stage FROM al LEFT JOIN scored USING (alert_id)", "surprise"))
 def effective_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = _evidence(spark, sf_dir, 0.01).where("event_id % 300 < 100 and stream_id = 'error'").drop("event_id")
+    kept = made_evidence(spark, sf_dir, 0.01).where("event_id % 300 < 100 and stream_id = 'error'").drop("event_id")
     alerts = spark.range(120).select(F.col("id").alias("alert_id"))
     return sweep.effective_stage(kept, alerts.where("alert_id % 5 = 0").withColumn("harm_stage", F.lit(2)), alerts).withColumn("score", F.round("score", 6))
 
 
-@query(with_tables(_evidence_sql("event_id % 300 < 100 AND event_id // 300 % 16 = 0", 0.01).replace(" AS stage FROM t)", " AS stage FROM t), before AS (SELECT alert_id, stage AS old, CASE WHEN alert_id % 7 = 0 THEN 'closed' ELSE 'open' END AS status FROM scored), have AS (SELECT alert_id, stream_id, cell FROM ev), young AS (SELECT * FROM before WHERE status = 'open' AND alert_id % 50 < 40 AND old < 2)") + """,
+@query(with_tables(evidence_sql("event_id % 300 < 100 AND event_id // 300 % 16 = 0", 0.01).replace(" AS stage FROM t)", " AS stage FROM t), before AS (SELECT alert_id, stage AS old, CASE WHEN alert_id % 7 = 0 THEN 'closed' ELSE 'open' END AS status FROM scored), have AS (SELECT alert_id, stream_id, cell FROM ev), young AS (SELECT * FROM before WHERE status = 'open' AND alert_id % 50 < 40 AND old < 2)") + """,
   extra AS (SELECT y.alert_id, e.stream_id, e.cell, count(*) AS n FROM young y JOIN (SELECT event_id % 20 AS region, stream_id, cell FROM surprise WHERE event_id % 9 = 0 AND event_id % 41 <> 0) e ON e.region = y.alert_id % 20 LEFT JOIN have h ON h.alert_id = y.alert_id AND h.stream_id = e.stream_id AND h.cell = e.cell WHERE h.alert_id IS NULL GROUP BY ALL)
   SELECT alert_id, count(*) AS n FROM extra GROUP BY 1""", "surprise"))
 def escalation_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many (stream, cell) each open young alert would absorb."""
-    all_ = _evidence(spark, sf_dir, 0.01)
+    all_ = made_evidence(spark, sf_dir, 0.01)
     ev = all_.where("event_id % 300 < 100 and floor(event_id / 300) % 16 = 0").drop("event_id")
     staged = sweep.scores(ev)
     alerts = staged.select("alert_id", (F.col("alert_id") % 20).alias("region"), F.when(F.col("alert_id") % 50 < 40, NOW - 60).otherwise(NOW - 10 * 86400).alias("opened_at"), F.when(F.col("alert_id") % 7 == 0, "closed").otherwise("open").alias("status"), F.lit(0.5).alias("severity"), "stage")
@@ -66,10 +70,10 @@ def escalation_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
     return young.join(found, "region").join(have, ["alert_id", "stream_id", "cell"], "left_anti").groupBy("alert_id").agg(F.count("*").alias("n"))
 
 
-@query(with_tables(_evidence_sql("event_id % 300 < 100 AND (event_id // 300 = 3 OR event_id // 300 % 5 = 1 AND coalesce(event_id % 41 <> 0, false))", 0.01) + ", own AS (SELECT event_id % 300 AS alert_id, stream_id, cell FROM surprise WHERE event_id % 300 < 100 AND event_id // 300 = 3), extra AS (SELECT DISTINCT alert_id FROM (SELECT event_id % 300 AS alert_id, stream_id, cell FROM surprise WHERE event_id % 300 < 100 AND event_id // 300 % 5 = 1 AND event_id % 41 <> 0) x WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.alert_id = x.alert_id AND o.stream_id = x.stream_id AND o.cell = x.cell)) SELECT alert_id, stage AS new_stage, CASE WHEN stage = 2 THEN 0.95e0 ELSE 0.8e0 END AS severity FROM scored JOIN extra USING (alert_id) WHERE stage > 0 AND alert_id % 7 <> 0 AND alert_id IN (SELECT alert_id FROM own)", "surprise"))
+@query(with_tables(evidence_sql("event_id % 300 < 100 AND (event_id // 300 = 3 OR event_id // 300 % 5 = 1 AND coalesce(event_id % 41 <> 0, false))", 0.01) + ", own AS (SELECT event_id % 300 AS alert_id, stream_id, cell FROM surprise WHERE event_id % 300 < 100 AND event_id // 300 = 3), extra AS (SELECT DISTINCT alert_id FROM (SELECT event_id % 300 AS alert_id, stream_id, cell FROM surprise WHERE event_id % 300 < 100 AND event_id // 300 % 5 = 1 AND event_id % 41 <> 0) x WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.alert_id = x.alert_id AND o.stream_id = x.stream_id AND o.cell = x.cell)) SELECT alert_id, stage AS new_stage, CASE WHEN stage = 2 THEN 0.95e0 ELSE 0.8e0 END AS severity FROM scored JOIN extra USING (alert_id) WHERE stage > 0 AND alert_id % 7 <> 0 AND alert_id IN (SELECT alert_id FROM own)", "surprise"))
 def escalation_whole_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts whose stage rises when their own evidence and the new readings of their region are scored together."""
-    all_ = _evidence(spark, sf_dir, 0.01).where("event_id % 300 < 100")
+    all_ = made_evidence(spark, sf_dir, 0.01).where("event_id % 300 < 100")
     ev = all_.where("floor(event_id / 300) = 3").drop("event_id")
     new = all_.where("floor(event_id / 300) % 5 = 1").withColumn("region", F.col("alert_id")).drop("event_id", "alert_id")
     alerts = ev.select("alert_id").distinct().select("alert_id", F.col("alert_id").alias("region"), F.lit(NOW - 60).alias("opened_at"), F.when(F.col("alert_id") % 7 == 0, "closed").otherwise("open").alias("status"), F.lit(0.5).alias("severity"), F.lit(0).alias("stage"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from calibra.functions import pit
 from calibra.functions.bins import floor_to
-from calibra.operators import alerts, calibration, digest, joins, presence, probes, push, usage, views
+from calibra.operators import alerts, calibration, digest, joins, presence, probes, push, sweep, usage, views
+from calibra.plans.detail import evidence_sql, made_evidence
 from calibra.plans.registry import query
 from calibra.plans.tables import MODALITY, MODALITY_SQL, NOW, health, lookup, obs, read, regions, surprise, with_tables
 
@@ -92,18 +93,17 @@ def every_event_first_per_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.every_event(seen, none, NOW, 86400).select("stream_id", "region", "ts")
 
 
-_SCORED = f", v AS (SELECT CAST(event_id // 20 AS BIGINT) AS alert_id, stream_id, cell, {MODALITY_SQL} AS modality, max(-log10(greatest(least(greatest(2 * least(q_value, 1 - q_value), 1e-300), 1e0), 1e-15))) AS e FROM surprise WHERE q_value IS NOT NULL GROUP BY ALL), a AS (SELECT alert_id, sum(e) * CASE WHEN count(DISTINCT modality) >= 2 THEN count(DISTINCT modality) ELSE 1 END AS score, count(DISTINCT modality) AS modalities, count(DISTINCT cell) AS cells FROM v GROUP BY alert_id)"
+_TWENTY = evidence_sql("true", 0.01, "CAST(event_id // 20 AS BIGINT)")
 
 
 def _alert_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = surprise(spark, sf_dir).select(F.floor(F.col("event_id") / 20).cast("long").alias("alert_id"), "stream_id", "cell", lookup("stream_id", MODALITY).alias("modality"), F.col("q_value").alias("q"), F.lit("both").alias("tail"))
-    return alerts.alert_scores(v)
+    """Whole-evidence scores of alerts of twenty events each."""
+    return sweep.scores(made_evidence(spark, sf_dir, 0.01).withColumn("alert_id", F.floor(F.col("event_id") / 20).cast("long")).drop("event_id"))
 
 
-@query(with_tables(_SCORED + " SELECT alert_id, round(score, 6) AS score, modalities, cells, CAST(CASE WHEN score >= 15 AND modalities >= 2 THEN 2 WHEN modalities >= 2 THEN 1 ELSE 0 END AS INTEGER) AS stage FROM a", "surprise"))
+@query(with_tables(_TWENTY + " SELECT alert_id, round(score, 6) AS score, modalities, confirmed, stage FROM scored", "surprise"))
 def alert_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _alert_scores(spark, sf_dir)
-    return s.select("alert_id", F.round("score", 6).alias("score"), "modalities", "cells", alerts.stage(F.col("score"), F.col("modalities")).alias("stage"))
+    return _alert_scores(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
 @query(with_tables(", c AS (SELECT stream_id, region, max(value) / 50 AS score FROM obs JOIN regions USING (cell) GROUP BY ALL) SELECT stream_id, region, round(score, 6) AS score, count(*) OVER (PARTITION BY stream_id) AS regions, 0.6e0 AS severity FROM c WHERE score >= 6 QUALIFY count(*) OVER (PARTITION BY stream_id) <= 5 AND region <> 'ASIA'", "regions"))
@@ -114,12 +114,17 @@ def provisional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.provisional(s, taken, none, NOW).select("stream_id", "region", F.round("score", 6).alias("score"), "regions", "severity")
 
 
-@query(with_tables(f", c AS (SELECT stream_id, region, {MODALITY_SQL} AS modality, max(value) / 100 AS e FROM obs JOIN regions USING (cell) WHERE stream_id <> 'click' GROUP BY ALL), n AS (SELECT region, count(DISTINCT modality) AS m, sum(e) AS e, list_sort(list(DISTINCT stream_id)) AS added FROM c WHERE region <> 'ASIA' GROUP BY region) SELECT region, added, CAST(CASE WHEN e * m >= 15 AND m >= 2 THEN 2 WHEN m >= 2 THEN 1 ELSE 0 END AS INTEGER) AS new_stage FROM n WHERE m >= 2", "regions"))
+#: Own evidence of an alert: errors of its nation; new readings: all others of its region that have a quantile.
+_OF_REGION = "(SELECT s.*, al.cell AS alert FROM surprise s JOIN regions r ON r.cell = s.cell JOIN regions al ON al.region = r.region WHERE al.region <> 'ASIA' AND CASE WHEN s.stream_id = 'error' THEN al.cell = s.cell ELSE s.event_id % 41 <> 0 AND coalesce(s.q_value, s.presence_q) IS NOT NULL END)"
+
+
+@query(with_tables(evidence_sql("true", 0.01, "alert", _OF_REGION) + " SELECT alert_id, stage AS new_stage, CASE WHEN stage = 2 THEN 0.95e0 ELSE 0.8e0 END AS severity, n_added FROM scored JOIN (SELECT alert_id, count(DISTINCT stream_id || cell) AS n_added FROM ev WHERE stream_id <> 'error' GROUP BY 1) USING (alert_id) WHERE stage > 0", "surprise", "regions"))
 def region_escalation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = regions(spark, sf_dir)
-    c = obs(spark, sf_dir).join(r, "cell").groupBy("stream_id", "region").agg((F.max("value") / 100).alias("e")).withColumn("modality", lookup("stream_id", MODALITY))
-    open_ = r.select("region").distinct().select(F.col("region").alias("alert_id"), "region", F.lit(NOW - 60).alias("opened_at"), F.when(F.col("region") == "ASIA", "resolved").otherwise("open").alias("status"), F.lit(0).alias("stage"), F.array(F.lit("click")).alias("streams"))
-    return alerts.escalated(open_, c, NOW).select(F.col("alert_id").alias("region"), "added", "new_stage")
+    """One alert a nation absorbs the readings of its whole region; those of a region are resolved."""
+    r, ev = regions(spark, sf_dir), made_evidence(spark, sf_dir, 0.01).drop("alert_id", "event_id")
+    own, new = ev.where("stream_id = 'error'").join(r.select("cell"), "cell").withColumn("alert_id", F.col("cell")), ev.where("stream_id <> 'error'").join(r, "cell")
+    open_ = r.select(F.col("cell").alias("alert_id"), "region", F.lit(NOW - 60).alias("opened_at"), F.when(F.col("region") == "ASIA", "resolved").otherwise("open").alias("status"), F.lit(0.5).alias("severity"), F.lit(0).alias("stage"))
+    return sweep.escalations(open_, own, new, NOW).select("alert_id", "new_stage", "severity", F.size("added").cast("long").alias("n_added"))
 
 
 _LEVEL = "(CASE WHEN value >= 50 THEN 1 ELSE 0 END + CASE WHEN value >= 100 THEN 1 ELSE 0 END + CASE WHEN value >= 200 THEN 1 ELSE 0 END)"
@@ -131,14 +136,14 @@ def harm_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.confirmed_harm(o, ["stream_id"], alerts.harm_level(F.col("value"), [50.0, 100.0, 200.0]), 12, 3)
 
 
-@query(with_tables(_SCORED + " SELECT round(greatest(CASE WHEN count(*) >= 14 THEN min(score) ELSE 8e0 END, 8e0), 6) AS threshold FROM (SELECT score FROM a ORDER BY score DESC LIMIT 14)", "surprise"))
+@query(with_tables(_TWENTY + " SELECT round(greatest(CASE WHEN count(*) >= 14 THEN min(score) ELSE 8e0 END, 8e0), 6) AS threshold FROM (SELECT score FROM scored ORDER BY score DESC LIMIT 14)", "surprise"))
 def budget_kth_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return push.budget_threshold(_alert_scores(spark, sf_dir)).select(F.round("threshold", 6).alias("threshold"))
 
 
-@query(with_tables(_SCORED + ", s AS (SELECT *, CASE WHEN score >= 15 AND modalities >= 2 THEN 2 WHEN modalities >= 2 THEN 1 ELSE 0 END AS stage FROM a) SELECT alert_id FROM s WHERE score >= 8 AND NOT (alert_id % 2 = 0 AND stage <= 1) ORDER BY round(score, 6) DESC, alert_id LIMIT 3", "surprise"))
+@query(with_tables(_TWENTY + " SELECT alert_id FROM scored WHERE score >= 8 AND NOT (alert_id % 2 = 0 AND stage <= 1) ORDER BY round(score, 6) DESC, alert_id LIMIT 3", "surprise"))
 def push_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _alert_scores(spark, sf_dir).withColumn("stage", alerts.stage(F.col("score"), F.col("modalities"))).withColumn("score", F.round("score", 6))
+    s = _alert_scores(spark, sf_dir).withColumn("score", F.round("score", 6))
     sent = s.where("alert_id % 2 = 0").select("alert_id", F.lit(1).alias("stage"), F.when(F.col("alert_id") == 0, NOW - 60).otherwise(NOW - 999999).alias("ts"))
     return push.to_push(s, sent, 8.0, NOW).select("alert_id")
 

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from calibra.functions.geo import fixed_grid
 from calibra.functions.keys import stable_offset
 from calibra.functions.times import day_of_month_near, parse_time
 from calibra.sources.payloads import at, json_records
@@ -25,6 +26,8 @@ PARSERS: dict[str, Parser] = {}
 SIGNALS = {"bgp": 0, "ping-slash24": 1, "merit-nt": 2, "gtr": 3}
 DISASTER_LEVELS = {"Green": 0, "Orange": 1, "Red": 2}
 BULLETIN_LEVELS = {"information": 0, "threat": 1, "advisory": 1, "watch": 2, "warning": 3}
+#: Codes of a fire mask that say fire.
+FIRE_CODES = (10, 11, 12, 13, 14, 30, 31, 32, 33, 34)
 SEVERITY_CODES = {"Unknown": 0, "Minor": 1, "Moderate": 2, "Severe": 3, "Extreme": 4}
 
 
@@ -167,6 +170,19 @@ def fire_pixels(pixels: DataFrame, stream: str, cell_of: CellOf, least_confidenc
     return observed(rows.withColumn("ts", F.col("base") + F.col("k")), stream)
 
 
+@parser("scan_fires")
+def scan_fires(pixels: DataFrame, stream: str, cell_of: CellOf, lon0: float, codes: tuple[int, ...] = FIRE_CODES) -> DataFrame:
+    """Pixels (ord, x, y, mask, power, start, end) of a geostationary scan whose mask says fire, placed by their scan angles.
+
+    The fires of a cell are a second apart in their order, as far as the scan's span goes; power
+    that is missing or negative is 0; pixels off the disc are left out."""
+    seen = pixels.where(F.col("mask").isin(*codes)).withColumn("at", fixed_grid(F.col("x"), F.col("y"), lon0)).where("at is not null")
+    power = F.when(F.nanvl("power", F.lit(-1.0)) >= 0, F.col("power")).otherwise(0.0)
+    rows = seen.select("ord", "start", "end", cell_of(F.col("at.lat"), F.col("at.lon")).alias("cell"), power.alias("value"))
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("cell", "start").orderBy("ord")) - 1).where(F.col("k") < F.greatest(F.col("end") - F.col("start"), F.lit(1)))
+    return observed(rows.withColumn("ts", F.col("start") + F.col("k")), stream)
+
+
 @parser("article_export")
 def article_export(lines: DataFrame, stream: str, cell_of: CellOf, lat: int = 56, lon: int = 57, url: int = 60, mentions: int = 31, window: int = 900) -> DataFrame:
     """Tab-separated coded events (batch_end, line): one event a cell and article, spread over the batch's window.
