@@ -111,21 +111,19 @@ class Nystroem:
 
     def kernel(self, blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(kernel of each block with each landmark, familiarity of each block)."""
-        found, familiar = [], np.zeros(len(blocks))
-        for i, block in enumerate(blocks):
-            numbers = [self.vocabulary.find(codes) for codes in gram_codes(block)]
-            longest = next((x for x in reversed(numbers) if len(x)), numbers[0])
-            familiar[i] = (longest >= 0).mean() if len(longest) else 0.0
-            seen = np.zeros(len(self.vocabulary.codes), bool)
-            for x in numbers:
-                seen[x[x >= 0]] = True
-            found.append(np.flatnonzero(seen))
-        lengths = np.array([len(x) for x in found])
-        used, column = np.unique(np.concatenate(found), return_inverse=True)
-        rows = np.zeros((len(blocks), len(used)), np.float32)
-        rows[np.repeat(np.arange(len(blocks)), lengths), column] = 1
-        shared = (rows @ self.has[used].astype(np.float32)).astype(np.float64)
-        return shared / np.outer(np.sqrt(np.maximum(lengths, 1)), self.norm), familiar
+        n_blocks, familiar = len(blocks), np.zeros(len(blocks))
+        seen = np.zeros((n_blocks, len(self.vocabulary.codes)), bool)
+        for codes in zip(*map(gram_codes, blocks)):  # of one length in all blocks, the longest last
+            sizes = np.array([len(x) for x in codes])
+            owner, number = np.repeat(np.arange(n_blocks), sizes), self.vocabulary.find(np.concatenate(codes))
+            known = number >= 0
+            seen[owner[known], number[known]] = True
+            familiar = np.where(sizes > 0, np.bincount(owner, known, n_blocks) / np.maximum(sizes, 1), familiar)
+        shared = np.zeros((n_blocks, len(self.norm)))
+        for at in range(0, len(self.has), 1 << 14):
+            part = np.s_[at : at + (1 << 14)]
+            shared += seen[:, part].astype(np.float32) @ self.has[part].astype(np.float32)
+        return shared / np.outer(np.sqrt(np.maximum(seen.sum(1), 1)), self.norm), familiar
 
     def map(self, texts: list[str]) -> np.ndarray:
         """One row of coordinates a text, with a last column of ones."""
