@@ -84,6 +84,39 @@ def test_links_of_each_cosine_band_are_found(spark, dim):
     assert sum(r.component_id == root[i] for i, r in enumerate(got)) >= 0.95 * len(x)
 
 
+@pytest.mark.parametrize("dim", [8, 16, 64, 256])
+@pytest.mark.parametrize("n", [800, 4096])
+def test_order_of_pivots_finds_pairs_at_the_threshold(dim, n):
+    """6,000 planted pairs at a cosine of 0.9, none of which took part in the fit; first lists are shared ones."""
+    from calibra.llm import pivot_dedup as d
+
+    rng = np.random.default_rng(dim)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    pivots, span = d.fitted_pivots(unit(rng.normal(size=(2 * n, dim))), n)
+    x = unit(rng.normal(size=(6_000, dim)))
+    away = rng.normal(size=x.shape)
+    y = 0.9 * x + np.sqrt(0.19) * unit(away - (away * x).sum(1, keepdims=True) * x)
+    m = min(span + 1, len(pivots))
+    a, b = (d.nearest(v, pivots, m).astype(np.int16) for v in (x, y))
+    first = d._first_list(a, b, span, 3, 0)
+    assert (first >= 0).mean() >= 0.95 and span <= d.SPAN
+
+    def listed(order):
+        return {(min(order[i], order[j]), max(order[i], order[j])) for i in range(m) for j in range(i + 1, m) if i + j <= span}
+
+    for p, q, got in zip(a[:300].tolist(), b[:300].tolist(), first.tolist()):
+        both = listed(p) & listed(q)
+        assert got == (min(both)[0] * d.MOST_PIVOTS + min(both)[1] % 3 if both else -1)
+
+
+def test_vectors_whose_squares_leave_the_range_of_doubles(spark):
+    from calibra.llm.pivot_dedup import near_duplicates
+
+    rows = [(i, [float(np.cos(i)), float(np.sin(i)), 2.0]) for i in range(40)] + [(100, [1e200, 0.0, -1e200]), (101, [1e-200, 0.0, -1e-200]), (102, [0.0, 0.0, 0.0]), (103, [1.0, 0.0, -1.0])]
+    got = {r.vec_id: r for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [(got[i].n_links, got[i].component_id) for i in (100, 101, 102, 103)] == [(2, 100), (2, 100), (0, 102), (2, 100)]
+
+
 def test_each_dimension_is_indexed(spark):
     from calibra.llm.pivot_dedup import near_duplicates
 
