@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.01"
 
@@ -261,6 +262,57 @@ def test_quality_with_few_positives(spark):
         assert len(out) == 14 and out.score.between(0, 1).all()
 
 
+def test_quality_fit_equals_plain_descent(spark, monkeypatch):
+    """Sums of tasks, weights and calibration against plain sums, gradient descent on the stated risk and sorted shares."""
+    from calibra.llm import quality as ql
+
+    monkeypatch.setattr(ql, "DECAY", 0.02)  # so that plain descent arrives
+    monkeypatch.setattr(ql, "BINS", 3)
+    labels, kinds = {r.doc_id for r in table(spark, "labels").where("quality = 1").collect()}, ql._kinds()
+    docs = table(spark, "documents")
+    rows = [(r.doc_id, ql.statistics([r.text or ""], kinds)[0]) for r in docs.collect()]
+    every, good = np.array([x for _, x in rows]), np.array([x for i, x in rows if i in labels])
+    cells = ql.stat_cells(every)
+    model = ql.BinnedLogistic(np.stack([np.bincount(c, minlength=ql.STAT_CELLS[1]) for c in cells.T]))
+    assert model.n == len(every) and np.allclose(model.mean, every.mean(0), rtol=2e-3, atol=2e-3)
+    of = ql.risk_sums(model, np.linspace(-1, 1, len(model.weights)))
+    by_task = ql.sums_over(ql._with_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartition(7)).select("x"))
+    assert np.allclose(by_task(of), of(every), rtol=1e-9)
+    u, p, prior = model.expand(every), model.expand(good), 0.4
+    ql.fit_non_negative(model, good, lambda f: f(every), prior)
+    plain = lambda z: 1 / (1 + np.exp(-z))
+    rate, w = 4 / np.linalg.eigvalsh(u.T @ u / len(u))[-1], np.zeros(u.shape[1])
+    for _ in range(60_000):
+        grad = u.T @ plain(u @ w) / len(u) - prior * (p.T @ plain(p @ w)) / len(p) + prior * (p.T @ (plain(p @ w) - 1)) / len(p) + 0.02 * w
+        w -= rate * grad
+        if np.abs(grad).max() < 1e-8:
+            break
+    assert np.abs(grad).max() < 1e-6 and np.logaddexp(0, u @ w).mean() >= prior * np.logaddexp(0, p @ w).mean()
+    assert np.abs(w - model.weights).max() < 1e-4
+    z = np.sort(model.margin(every))
+    counts = lambda x: np.bincount(ql.margin_cells(model.margin(x)), minlength=ql.MARGIN_CELLS[1])
+    model.calibrate(counts(good), counts(every), prior)
+    share = np.diff(np.concatenate([[0], np.searchsorted(z, model.edges_of_margin), [len(z)]])) / len(z)
+    assert abs((model.level * share).sum() - prior) < 0.02 and (np.diff(model.level) >= 0).all()
+    # a prior beyond the texts' share: the fit stops where the negative part is still not below zero
+    edge = ql.BinnedLogistic(np.stack([np.bincount(c, minlength=ql.STAT_CELLS[1]) for c in cells.T]))
+    ql.fit_non_negative(edge, good, lambda f: f(every), 0.97)
+    assert np.logaddexp(0, edge.margin(every)).mean() - 0.97 * np.logaddexp(0, edge.margin(good)).mean() >= -1e-4
+
+
+def test_prior_equals_a_sorted_scan():
+    from calibra.llm import quality as ql
+
+    rng = np.random.default_rng(3)
+    p, u = rng.normal(2, 1, 2_000), np.concatenate([rng.normal(2, 1, 6_000), rng.normal(-3, 1, 4_000)])
+    counts = lambda z: np.bincount(ql.margin_cells(z), minlength=ql.MARGIN_CELLS[1])
+    got = ql.class_prior(counts(p), counts(u))
+    slack = np.sqrt(np.log(120) / (2 * len(p))) + np.sqrt(np.log(120) / (2 * len(u)))
+    ratios = [(((u >= c).mean() + slack) / (p >= c).mean(), (u >= c).mean() / (p >= c).mean()) for c in np.sort(p)[:: len(p) // 60]]
+    assert abs(got - min(ratios)[1]) < 0.02 and abs(got - 0.6) < 0.05
+    assert ql.class_prior(np.zeros(4_096), counts(u)) == 0.5
+
+
 def test_toxicity_scores_equal_the_plain_formula(spark):
     """Scores from the fitted parts by plain Python, token by token and without a memory."""
     import math
