@@ -189,7 +189,10 @@ def fit_non_negative(model: BinnedLogistic, good: np.ndarray, unlabelled: Summed
     share = 1.0
     for _ in range(steps):
         step = np.linalg.solve(curve, slope)
-        if np.abs(step * share).max() < 1e-7:
+        if share == 1 and np.abs(step).max() < 1e-3:
+            w = w - step  # what is left after it is of the order of its square
+            break
+        if share < 1 / 64:
             break
         new = at(w - share * step)
         if new[0] > risk + 1e-12 or (new[1] < 0 <= negative):
@@ -235,14 +238,15 @@ def fit_quality(good: np.ndarray, halves: tuple[Summed, Summed], unlabelled: Sum
 
 
 def sums_over(rows: DataFrame) -> Summed:
-    """Sums of a function of batches of statistics over all rows (x array<double>); tasks add up, then 16 groups of tasks."""
+    """Sums of a function of batches of statistics over all rows (x array<double>); tasks add up, then 16 groups of tasks.
+
+    Rows stream through two tasks a core, however many partitions they lie in."""
+    few = rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
 
     def summed(of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
         zero = of(np.zeros((0, len(STATISTICS))))
 
         def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
             total, n = zero.astype(np.float64), 0
             for batch in batches:
                 if batch.num_rows:
@@ -251,7 +255,7 @@ def sums_over(rows: DataFrame) -> Summed:
                         total = total + of(x[lo : lo + 4_096])
                     n += batch.num_rows
             if n:
-                yield pa.record_batch([pa.array([TaskContext.get().partitionId() % 16], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
+                yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
         def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
@@ -262,7 +266,7 @@ def sums_over(rows: DataFrame) -> Summed:
             if total is not None:
                 yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-        found = rows.mapInArrow(part, "part int, sums binary").repartition(16, "part").mapInArrow(whole, "sums binary").collect()
+        found = few.mapInArrow(part, "sums binary").repartition(16).mapInArrow(whole, "sums binary").collect()
         return sum((np.frombuffer(r.sums, np.float64) for r in found), zero.astype(np.float64))
 
     return summed
