@@ -100,8 +100,10 @@ class Records:
     spread: int = 600
 
     def rows(self, payloads: DataFrame) -> DataFrame:
-        """payloads with doc (a key of the document) and one JSON record a row."""
-        docs = payloads.withColumn("doc", F.xxhash64("body"))
+        """payloads with doc (a key of the document) and one JSON record a row.
+
+        Two documents may hold one text, so what else is known of them (url, arrival) is part of the key."""
+        docs = payloads.withColumn("doc", F.xxhash64(*sorted(payloads.columns)))
         if not self.columns:
             return docs.withColumn("record", F.explode(F.from_json(at(self.path, "body"), "array<string>")))
         lines = F.slice(F.split("body", r"\r?\n"), F.lit(2), F.greatest(F.size(F.split("body", r"\r?\n")) - 1, F.lit(0)))
