@@ -74,9 +74,9 @@ def coverage(countries: DataFrame, targets: DataFrame, thin: int = 3) -> DataFra
     return joined.withColumn("state", F.when(F.col("n_targets") == 0, "unmonitored").when(F.col("n_targets") < thin, "thin").otherwise("ok"))
 
 
-def latest_verdict(calibration: DataFrame) -> DataFrame:
-    """The newest row of each stream."""
-    return calibration.groupBy("stream_id").agg(F.max_by(F.struct("status", "verdict", "n"), "ts").alias("v"), F.max("ts").alias("ts")).select("stream_id", "ts", "v.*")
+def latest_verdict(calibration: DataFrame, order: str = "ts") -> DataFrame:
+    """The last row of each stream in an order, with the stream's newest time."""
+    return calibration.groupBy("stream_id").agg(F.max_by(F.struct("status", "verdict", "n"), order).alias("v"), F.max("ts").alias("ts")).select("stream_id", "ts", "v.*")
 
 
 def nearest_home(places: DataFrame, homes: DataFrame, distance: Column, reach: str) -> DataFrame:
