@@ -17,12 +17,12 @@ from calibra.sources.payloads import at
 Place = Callable[[Callable[[str], Column]], Column]
 
 
-def coords(cell_of: CellOf, lat: tuple[str, ...] = ("lat",), lon: tuple[str, ...] = ("lon",)) -> Place:
-    """The cell of the first numbers among fields; out of range and the null point have none."""
+def coords(cell_of: CellOf, lat: tuple[str, ...] = ("lat",), lon: tuple[str, ...] = ("lon",), null_point: bool = False) -> Place:
+    """The cell of the first numbers among fields; out of range and, unless null_point says that it is a place, 0, 0 have none."""
 
     def place(get) -> Column:
         y, x = F.coalesce(*[number(get(f)) for f in lat]), F.coalesce(*[number(get(f)) for f in lon])
-        return F.when(y.between(-90, 90) & x.between(-180, 180) & ((y != 0) | (x != 0)), cell_of(y, x))
+        return F.when(y.between(-90, 90) & x.between(-180, 180) & (F.lit(null_point) | (y != 0) | (x != 0)), cell_of(y, x))
 
     return place
 
