@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from calibra.functions.bins import epoch
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is evaluated a single time however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_time(raw: Column, fmt: str = "iso", offset_seconds: int = 0) -> Column:
     """Seconds of a time in text; null if it can't be read.
 
     fmt: iso, epoch, epoch_ms, or a pattern. Whole numbers from 1e11 on are milliseconds.
     offset_seconds: zone of times that name none."""
+    return once(F.lit(None).cast("string") if raw is None else raw, lambda t: _seconds(t, fmt, offset_seconds))
+
+
+def _seconds(raw: Column, fmt: str, offset_seconds: int) -> Column:
     if fmt in ("epoch", "epoch_ms"):
-        n = F.expr("try_cast(null as double)") if raw is None else raw.try_cast("double")
+        n = raw.try_cast("double")
         return F.when((F.lit(fmt) == "epoch_ms") | (n >= 1e11), F.floor(n / 1000)).otherwise(F.floor(n)).cast("long")
     text = raw.cast("string")
     if fmt == "iso":

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from calibra.functions.geo import fixed_grid
 from calibra.functions.keys import stable_offset
-from calibra.functions.times import day_of_month_near, parse_time
-from calibra.sources.payloads import at, json_records
+from calibra.functions.times import day_of_month_near, once, parse_time
+from calibra.sources.payloads import at, json_records, single
 
 CellOf = Callable[[Column, Column], Column]
 Parser = Callable[..., DataFrame]
@@ -50,13 +50,12 @@ def parse(name: str, payloads: DataFrame, **options) -> DataFrame:
 
 def number(text: Column) -> Column:
     """A finite number of a text, else null."""
-    n = text.try_cast("double")
-    return F.when(F.abs(n) < float("inf"), n)
+    return once(text.try_cast("double"), lambda n: F.when(F.abs(n) < float("inf"), n))
 
 
 def moment(text: Column) -> Column:
     """Seconds of an ISO time, or of an epoch in seconds or milliseconds."""
-    return F.when(text.rlike(r"^-?\d+(\.\d+)?$"), parse_time(text, "epoch")).otherwise(parse_time(text, "iso"))
+    return once(text, lambda t: F.when(t.rlike(r"^-?\d+(\.\d+)?$"), parse_time(t, "epoch")).otherwise(parse_time(t, "iso")))
 
 
 def code_of(text: Column, codes: dict[str, int], other: int | None) -> Column:
@@ -85,7 +84,7 @@ def centroid(geometry: str) -> tuple[Column, Column]:
 
 def observed(rows: DataFrame, stream: str, event: bool = False) -> DataFrame:
     """The columns of an observation, of rows with a cell and a time (and a value, unless events)."""
-    kept = rows.where("cell is not null and ts is not null" + ("" if event else " and value is not null"))
+    kept = single(rows.select("cell", "ts", "value")).where("cell is not null and ts is not null" + ("" if event else " and value is not null"))
     return kept.select(F.lit(stream).alias("stream_id"), "cell", F.col("ts").cast("long").alias("ts"), F.col("value").cast("double").alias("value"))
 
 
@@ -306,10 +305,10 @@ def cap_alerts(payloads: DataFrame, stream: str, cell_of: CellOf, language: str
 
     Cells are those of the areas' mean vertices and circle centres, else the fallback cell.
     Tests and cancellations are dropped. Of several blocks that of the language, else the first, counts."""
-    doc = payloads.select("url", F.from_xml("body", _CAP, {"rowTag": "alert", "ignoreNamespace": "true"}).alias("a")).select("url", "a.*")
+    doc = single(payloads.select("url", F.from_xml("body", _CAP, {"rowTag": "alert", "ignoreNamespace": "true"}).alias("a"))).select("url", "a.*")
     doc = doc.where("coalesce(status, 'Actual') = 'Actual' and coalesce(msgType, 'Alert') <> 'Cancel' and size(info) > 0")
     mine = F.filter("info", lambda i: F.coalesce(i["language"], F.lit("")).startswith(language))
-    one = doc.select(F.coalesce("identifier", "url").alias("ident"), "sent", F.when(F.size(mine) > 0, F.get(mine, F.lit(0))).otherwise(F.get("info", F.lit(0))).alias("i"))
+    one = single(doc.select(F.coalesce("identifier", "url").alias("ident"), "sent", once(mine, lambda m: F.when(F.size(m) > 0, F.get(m, F.lit(0))).otherwise(F.get("info", F.lit(0)))).alias("i")))
     pair = lambda t: F.transform(F.split(t, ","), lambda x: x.try_cast("double"))
     vertices = lambda polygon: F.filter(F.transform(F.split(F.trim(polygon), r"\s+"), pair), lambda p: (F.size(p) >= 2) & F.get(p, F.lit(0)).isNotNull() & F.get(p, F.lit(1)).isNotNull())
     mean = lambda ring: F.transform(F.array(F.lit(0), F.lit(1)), lambda i: F.aggregate(ring, F.lit(0.0), lambda acc, p: acc + F.get(p, i)) / F.size(ring))
@@ -321,7 +320,7 @@ def cap_alerts(payloads: DataFrame, stream: str, cell_of: CellOf, language: str
     inside = F.filter(points, lambda p: F.get(p, F.lit(0)).between(-90, 90) & F.get(p, F.lit(1)).between(-180, 180))
     cells = F.array_distinct(F.transform(inside, lambda p: cell_of(F.get(p, F.lit(0)), F.get(p, F.lit(1)))))
     if fallback:
-        cells = F.when(F.size(cells) > 0, cells).otherwise(F.array(F.lit(fallback)))
+        cells = once(cells, lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(F.lit(fallback))))
     severity = F.coalesce(F.trim("i.severity"), F.lit("Unknown"))
     kept = one.where(severity.isin(*severities)) if severities else one
     rows = kept.select("ident", parse_time(F.coalesce("sent", "i.effective", "i.onset"), "iso").alias("sent_at"), code_of(severity, SEVERITY_CODES, 0).alias("value"), F.explode(cells).alias("cell"))

@@ -63,6 +63,17 @@ def json_records(payloads: DataFrame, path: str = "") -> DataFrame:
     return payloads.withColumn("record", F.explode(F.from_json(array, "array<string>"))).drop("body")
 
 
+def single(rows: DataFrame) -> DataFrame:
+    """The same rows, computed once each: filters put on them later aren't moved below, where they would repeat the parsing."""
+    return rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("_row")).select("_row.*")
+
+
+def json_fields(payloads: DataFrame, array: str, **paths: str) -> DataFrame:
+    """One row for each element of a column's JSON array, in place of the column: each path is read once, as text."""
+    fields = F.transform(F.from_json(array, "array<string>"), lambda r: F.struct(*[at(p, r).alias(name) for name, p in paths.items()]))
+    return payloads.withColumn("_fields", F.explode(fields)).select(*[c for c in payloads.columns if c != array], "_fields.*")
+
+
 def event_time(text: Column, fmt: str) -> Column:
     """Seconds of a time given as epoch, epoch_ms or a datetime pattern (UTC); null if malformed."""
     if fmt == "epoch":
