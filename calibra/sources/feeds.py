@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from calibra.functions.geo import fixed_grid
 from calibra.functions.keys import stable_offset
 from calibra.functions.times import day_of_month_near, once, parse_time
-from calibra.sources.payloads import at, json_records, single
+from calibra.operators.sizes import small
+from calibra.sources.payloads import at, json_fields, json_records, single
 
 CellOf = Callable[[Column, Column], Column]
 Parser = Callable[..., DataFrame]
@@ -146,14 +147,15 @@ def box_means(payloads: DataFrame, stream: str, boxes: DataFrame, scale: float =
 
     A day counts if enough of its samples are valid. The day's window begins at end_hour local
     time the evening before; boxes are configuration."""
-    entry = json_records(payloads).where(at("status") == "200").select(at("box").alias("box"), F.explode(F.from_json(at("data"), "array<string>")).alias("record"))
+    entry = json_fields(payloads.select("body"), "body", status="status", box="box", data="data").where("status = '200'").drop("status")
     stats = "outputs.gas.bands.B0.stats."
-    total, missing = F.coalesce(number(at(stats + "sampleCount")), F.lit(0.0)), F.coalesce(number(at(stats + "noDataCount")), F.lit(0.0))
+    days = json_fields(entry, "data", error="error", samples=stats + "sampleCount", gaps=stats + "noDataCount", mean=stats + "mean", begin="interval.from")
+    total, missing = F.coalesce(number(F.col("samples")), F.lit(0.0)), F.coalesce(number(F.col("gaps")), F.lit(0.0))
     lon = (F.col("west") + F.col("east")) / 2
     window = F.bround(((end_hour - 24.0) * 3600 - lon * 240) / 60).cast("long") * 60
     to_overpass = F.bround(overpass_hour * 3600 - lon * 240).cast("long") - window
-    rows = entry.where(at("error").isNull() & (total > 0) & ((total - missing) / total >= least_valid)).join(boxes.select("box", "west", "east", "cell"), "box")
-    return observed(rows.select("cell", (moment(at("interval.from")) + to_overpass).alias("ts"), transformed(number(at(stats + "mean")) * scale, transform).alias("value")), stream)
+    rows = days.where(F.col("error").isNull() & (total > 0) & ((total - missing) / total >= least_valid)).join(small(boxes.select("box", "west", "east", "cell")), "box")
+    return observed(rows.select("cell", (moment(F.col("begin")) + to_overpass).alias("ts"), transformed(number(F.col("mean")) * scale, transform).alias("value")), stream)
 
 
 @parser("fire_pixels")
