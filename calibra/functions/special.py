@@ -25,7 +25,11 @@ def gammaln(x):
 
 
 def _beta_fraction(a, b, x):
-    """Continued fraction of the incomplete beta function by Lentz's method."""
+    """Continued fraction of the incomplete beta function by Lentz's method.
+
+    A number that has converged is left alone, so its value doesn't depend on the others."""
+    shape, out = np.shape(x), np.empty(np.size(x))
+    a, b, x, left = np.ravel(a), np.ravel(b), np.ravel(x), np.arange(np.size(x))
     c, d = np.ones_like(x), 1 - (a + b) * x / (a + 1)
     d = 1 / np.where(np.abs(d) < _TINY, _TINY, d)
     h = d.copy()
@@ -36,9 +40,14 @@ def _beta_fraction(a, b, x):
             c = 1 + num / c
             c = np.where(np.abs(c) < _TINY, _TINY, c)
             h = h * d * c
-        if np.all(np.abs(d * c - 1) < 1e-15):
-            break
-    return h
+        done = np.abs(d * c - 1) < 1e-15
+        if done.any():
+            out[left[done]] = h[done]
+            a, b, x, c, d, h, left = (v[~done] for v in (a, b, x, c, d, h, left))
+            if not left.size:
+                break
+    out[left] = h
+    return out.reshape(shape)
 
 
 def betainc(a, b, x):

@@ -87,12 +87,10 @@ def _uniform(seed: int, ts: int) -> float:
     return (x ^ (x >> 32)) / (1 << 64)
 
 
-def step(st: ContinuousState, par: ContinuousParams, ts: int, y: float, seed: int = 0) -> tuple[ContinuousState, float, float | None]:
-    """State after a value, the value's quantile, and the quantile for tail decisions.
-
-    The first value has 0.5. Of a value known to a quantum only an interval of quantiles is
-    known: the first quantile is drawn from it by the series' seed, the second is the one
-    closest to one half; of other values there is no second one."""
+def advance(st: ContinuousState, par: ContinuousParams, ts: int, y: float) -> tuple[ContinuousState, tuple[float, float, float]]:
+    """State after a value, and where the value lies under the prediction before it: both ends of
+    the interval that is known of it, in units of the prediction's scale, and the degrees of
+    freedom (of the first value: NaN)."""
     scale = par.obs_scale**2
     if st.t0 < 0:
         k = 2 + 2 * len(par.periods) * par.n_harmonics
@@ -100,19 +98,15 @@ def step(st: ContinuousState, par: ContinuousParams, ts: int, y: float, seed: in
         x[0] = y
         var = np.full(k, 10.0)
         var[1] = 1.0
-        return ContinuousState(x, np.diag(var) * scale, scale, par.prior_dof, ts, ts), 0.5, None
+        return ContinuousState(x, np.diag(var) * scale, scale, par.prior_dof, ts, ts), (np.nan, np.nan, np.nan)
     x, p, n, z = _evolved(st, par, ts)
-    v = float(z @ p @ z)
-    spread, error = v + st.s, y - float(z @ x)
-    root, dof = np.sqrt(max(spread, 1e-12)), min(n, par.obs_dof)
-    rounding, cautious = 0.0, None
+    at, v = float(z @ x), float(z @ p @ z)
+    spread, error = v + st.s, y - at
+    root, dof, rounding = np.sqrt(max(spread, 1e-12)), min(n, par.obs_dof), 0.0
+    low = high = error / root
     if par.quantum:
-        ends = np.array(edges(par, y))
-        lo, hi = t_cdf((ends - float(z @ x)) / root, dof)
-        q, rounding = float(lo + _uniform(seed, ts) * (hi - lo)), float(ends[1] - ends[0]) ** 2 / 12
-        cautious = float(lo if lo > 0.5 else hi if hi < 0.5 else 0.5)
-    else:
-        q = float(t_cdf(error / root, dof))
+        a, b = edges(par, y)
+        low, high, rounding = (a - at) / root, (b - at) / root, (b - a) ** 2 / 12
     w = (par.obs_dof + 1) / (par.obs_dof + error * error / spread)
     gain = p @ z / (v + st.s / w)
     x = x + gain * error
@@ -120,4 +114,29 @@ def step(st: ContinuousState, par: ContinuousParams, ts: int, y: float, seed: in
     p = (p + p.T) / 2
     square = max(error * error - rounding, -spread / 2)
     s = st.s * (n + w * square / spread) / (n + w)
-    return ContinuousState(x, p * (s / st.s), s, n + w, st.t0, ts), q, cautious
+    return ContinuousState(x, p * (s / st.s), s, n + w, st.t0, ts), (low, high, dof)
+
+
+def quantiles(par: ContinuousParams, times: list[int], found: list[tuple[float, float, float]], seed: int = 0) -> tuple[list[float], list[float | None]]:
+    """Quantiles and quantiles for tail decisions of values by where they lie, all in one go.
+
+    The first value has 0.5. Of a value known to a quantum only an interval of quantiles is
+    known: the first quantile is drawn from it by the series' seed, the second is the one
+    closest to one half; of other values there is no second one."""
+    low, high, dof = np.array(found, float).reshape(-1, 3).T
+    new = np.isnan(dof)
+    dof = np.where(new, 1.0, dof)
+    lo = np.where(new, 0.5, t_cdf(np.where(new, 0.0, low), dof))
+    if not par.quantum:
+        return lo.tolist(), [None] * len(lo)
+    hi = np.where(new, 0.5, t_cdf(np.where(new, 0.0, high), dof))
+    drawn = np.array([_uniform(seed, ts) for ts in times])
+    cautious = np.where(lo > 0.5, lo, np.where(hi < 0.5, hi, 0.5))
+    return (lo + drawn * (hi - lo)).tolist(), [None if first else c for first, c in zip(new.tolist(), cautious.tolist())]
+
+
+def step(st: ContinuousState, par: ContinuousParams, ts: int, y: float, seed: int = 0) -> tuple[ContinuousState, float, float | None]:
+    """State after a value, the value's quantile, and the quantile for tail decisions (see quantiles)."""
+    st, found = advance(st, par, ts, y)
+    (q,), (cautious,) = quantiles(par, [ts], [found], seed)
+    return st, q, cautious

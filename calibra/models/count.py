@@ -46,6 +46,14 @@ def point_and_below(y: np.ndarray, size: np.ndarray, p: np.ndarray) -> tuple[np.
     if y.max(initial=0) > SUMMED:
         return np.exp(nb_logpmf(y, size, p)), nb_cdf(y - 1, size, p)
     term = p**size
+    if y.size == 1:  # the sums below, without the choice between series
+        below, rest = np.zeros_like(term), 1 - p
+        for j in range(int(y.max())):
+            below += term
+            term = term * (j + size)
+            term /= j + 1
+            term *= rest
+        return term, below
     below, point = np.zeros_like(term), np.where(y == 0, term, 0.0)
     for j in range(int(y.max(initial=0))):
         below = below + np.where(j < y, term, 0.0)

@@ -24,12 +24,12 @@ def score_points(obs: DataFrame, par: continuous.ContinuousParams = continuous.C
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.dropna(subset=["value"]).sort_values("ts").drop_duplicates("ts")
-        state, out, cautious = continuous.ContinuousState(), [], []
+        state, found, times = continuous.ContinuousState(), [], rows["ts"].tolist()
         seed = zlib.crc32(f"{rows['stream_id'].iloc[0]}|{rows['cell'].iloc[0]}".encode()) if len(rows) else 0
-        for ts, y in zip(rows["ts"].tolist(), rows["value"].tolist()):
-            state, q, detect = continuous.step(state, par, ts, y, seed)
-            out.append(q)
-            cautious.append(detect)
+        for ts, y in zip(times, rows["value"].tolist()):
+            state, where = continuous.advance(state, par, ts, y)
+            found.append(where)
+        out, cautious = continuous.quantiles(par, times, found, seed)
         return pd.DataFrame({"stream_id": rows["stream_id"], "cell": rows["cell"], "bin_start": rows["ts"], "q_value": out, "q_detect": pd.Series(cautious, index=rows.index, dtype="float64"), "model_version": continuous.VERSION})
 
     return obs.select("stream_id", "cell", "ts", "value").groupBy("stream_id", "cell").applyInPandas(run, ROW)
