@@ -59,11 +59,15 @@ class PointScorer:
         self.par, self.seed = source.params(), seed
         self.st = state.point_state(blob, self.par) if blob is not None else continuous.ContinuousState()
 
-    def score(self, ts: int, n: int, mean: float | None) -> tuple[float, float | None] | None:
-        if mean is None or np.isnan(mean):
-            return None
-        self.st, q, cautious = continuous.step(self.st, self.par, ts, float(mean), self.seed)
-        return q, cautious
+    def scores(self, bins: list[tuple[int, int, float | None]]) -> list[tuple[float, float | None] | None]:
+        """Quantiles of bins (start, n, mean) in their order; none of a bin without a mean."""
+        known, found = [not (mean is None or np.isnan(mean)) for _, _, mean in bins], []
+        for (ts, _, mean), good in zip(bins, known):
+            if good:
+                self.st, where = continuous.advance(self.st, self.par, ts, float(mean))
+                found.append(where)
+        told = zip(*continuous.quantiles(self.par, [ts for (ts, _, _), good in zip(bins, known) if good], found, self.seed))
+        return [next(told) if good else None for good in known]
 
     def stored(self) -> bytes:
         return state.point_bytes(self.st)
@@ -74,7 +78,10 @@ class CountScorer:
         self.seed = np.array([seed], np.uint64)
         self.bank, self.last = state.count_state(blob, source.params()) if blob is not None else (count.CountBank(1, source.params()), -1)
 
-    def score(self, ts: int, n: int, mean: float | None) -> tuple[float, float | None]:
+    def scores(self, bins: list[tuple[int, int, float | None]]) -> list[tuple[float, float | None] | None]:
+        return [self._score(ts, n) for ts, n, _ in bins]
+
+    def _score(self, ts: int, n: int) -> tuple[float, float | None]:
         lo, hi = self.bank.step(ts, np.array([n], np.int64), ts - self.last if self.last >= 0 else 0)
         self.last = ts
         return float(count.randomised(lo, hi, self.seed, self.bank.windows)[0]), float(count.conservative(lo, hi)[0])
@@ -127,8 +134,8 @@ def score_closed_bins(bins: DataFrame, archive: DataFrame, states: DataFrame, so
         model, why = opened(source, stream_id, cell, state_["state"].iloc[0] if len(state_) else None)
         version, out = state.VERSIONS[source.flavor], []
         rows = rows.sort_values("bin_start")
-        for at, n, mean in zip(rows["bin_start"].tolist(), rows["n"].tolist(), rows["vmean"].tolist()):
-            scored = model.score(at, n, mean)
+        bins_ = list(zip(rows["bin_start"].tolist(), rows["n"].tolist(), rows["vmean"].tolist()))
+        for (at, n, _), scored in zip(bins_, model.scores(bins_)):
             if scored is not None:
                 q, detect = scored
                 out.append(("row", *key, at, q, n, version, None if detect == q else detect, None, None))
