@@ -7,7 +7,8 @@ was observed under the prediction made before it.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from math import sqrt
 
 import numpy as np
 
@@ -117,6 +118,60 @@ def advance(st: ContinuousState, par: ContinuousParams, ts: int, y: float) -> tu
     return ContinuousState(x, p * (s / st.s), s, n + w, st.t0, ts), (low, high, dof)
 
 
+def _level_and_trend(st: ContinuousState, par: ContinuousParams, times: list[int], values: list[float]) -> tuple[ContinuousState, list[tuple[float, float, float]]]:
+    """follow() of a model that has begun and has no harmonics, in plain numbers.
+
+    The operations are those of advance in their order, without its products by the design 1, 0."""
+    scale, top, found = par.obs_scale**2, par.obs_dof, []
+    gaps = np.diff(np.array([st.last, *times], np.int64))
+    dts, keeps = np.maximum(1e-9, gaps / par.time_scale).tolist(), np.exp(-gaps / par.memory).tolist()
+    (x0, x1), ((p00, p01), (_, p11)), s, n = st.x.tolist(), st.p.tolist(), float(st.s), float(st.n)
+    for dt, keep, y in zip(dts, keeps, values):
+        x0 += dt * x1
+        p00 += dt * p01
+        p01 += dt * p11
+        p00 = p00 + dt * p01 + par.level_var * dt * s / scale
+        p11 += par.trend_var * dt * s / scale
+        n = keep * n + (1 - keep) * par.prior_dof
+        spread, error = p00 + s, y - x0
+        root, rounding = sqrt(max(spread, 1e-12)), 0.0
+        low = high = error / root
+        if par.quantum:
+            a, b = edges(par, y)
+            low, high, rounding = (a - x0) / root, (b - x0) / root, (b - a) ** 2 / 12
+        found.append((low, high, min(n, top)))
+        w = (top + 1) / (top + error * error / spread)
+        by = p00 + s / w
+        gain0, gain1 = p00 / by, p01 / by
+        x0 += gain0 * error
+        x1 += gain1 * error
+        p00, p01, p11 = p00 - gain0 * p00, ((p01 - gain0 * p01) + (p01 - gain1 * p00)) / 2, p11 - gain1 * p01
+        before, s = s, s * (n + w * max(error * error - rounding, -spread / 2) / spread) / (n + w)
+        grown = s / before
+        p00, p01, p11, n = p00 * grown, p01 * grown, p11 * grown, n + w
+    return ContinuousState(np.array([x0, x1]), np.array([[p00, p01], [p01, p11]]), np.float64(s), np.float64(n), st.t0, times[-1]), found
+
+
+def follow(st: ContinuousState, par: ContinuousParams, times: list[int], values: list[float]) -> tuple[ContinuousState, list[tuple[float, float, float]]]:
+    """advance() over many values in the order of their time: the last state, and where each value lies.
+
+    Results are those of single steps to the bit; models without harmonics take far less time a value."""
+    found = []
+    if st.t0 < 0 and times:
+        st, where = advance(st, par, times[0], values[0])
+        found, times, values = [where], times[1:], values[1:]
+    if times and st.t0 >= 0 and not par.periods and st.p[0, 1] == st.p[1, 0] and np.isfinite(st.x).all() and (np.abs(values) < 1e100).all():
+        try:
+            st, more = _level_and_trend(st, par, times, values)
+            return st, found + more
+        except ZeroDivisionError:  # a scale of zero, for which NumPy's numbers have a result
+            st = replace(st, s=np.float64(st.s), n=np.float64(st.n))
+    for ts, y in zip(times, values):
+        st, where = advance(st, par, ts, y)
+        found.append(where)
+    return st, found
+
+
 def quantiles(par: ContinuousParams, times: list[int], found: list[tuple[float, float, float]], seed: int = 0) -> tuple[list[float], list[float | None]]:
     """Quantiles and quantiles for tail decisions of values by where they lie, all in one go.
 

@@ -61,12 +61,10 @@ class PointScorer:
 
     def scores(self, bins: list[tuple[int, int, float | None]]) -> list[tuple[float, float | None] | None]:
         """Quantiles of bins (start, n, mean) in their order; none of a bin without a mean."""
-        known, found = [not (mean is None or np.isnan(mean)) for _, _, mean in bins], []
-        for (ts, _, mean), good in zip(bins, known):
-            if good:
-                self.st, where = continuous.advance(self.st, self.par, ts, float(mean))
-                found.append(where)
-        told = zip(*continuous.quantiles(self.par, [ts for (ts, _, _), good in zip(bins, known) if good], found, self.seed))
+        known = [not (mean is None or np.isnan(mean)) for _, _, mean in bins]
+        times, means = [b[0] for b, good in zip(bins, known) if good], [float(b[2]) for b, good in zip(bins, known) if good]
+        self.st, found = continuous.follow(self.st, self.par, times, means)
+        told = zip(*continuous.quantiles(self.par, times, found, self.seed))
         return [next(told) if good else None for good in known]
 
     def stored(self) -> bytes:

@@ -1,13 +1,14 @@
-"""Batch scoring: sequential models as grouped maps over time-ordered series.
+"""Batch scoring: sequential models as maps over time-ordered series.
 
-Point series are independent: one group is one series. Count series are scored many at a time:
-a group is one stream's shard of cells, whose models advance together window by window. Pooled
-counts are in operators.pooling.
+Point series are independent: they are read in the order of their times, a batch at a time.
+Count series are scored many at a time: a group is one stream's shard of cells, whose models
+advance together window by window. Pooled counts are in operators.pooling.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,20 +20,28 @@ from calibra.models import continuous, count, presence, tdigest
 ROW = "stream_id string, cell string, bin_start long, q_value double, q_detect double, model_version int"
 
 
-def score_points(obs: DataFrame, par: continuous.ContinuousParams = continuous.ContinuousParams()) -> DataFrame:
-    """Quantiles of point series (stream_id, cell, ts, value); late repeats of a time are left out, null values unscored."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.dropna(subset=["value"]).sort_values("ts").drop_duplicates("ts")
-        state, found, times = continuous.ContinuousState(), [], rows["ts"].tolist()
-        seed = zlib.crc32(f"{rows['stream_id'].iloc[0]}|{rows['cell'].iloc[0]}".encode()) if len(rows) else 0
-        for ts, y in zip(times, rows["value"].tolist()):
-            state, where = continuous.advance(state, par, ts, y)
-            found.append(where)
-        out, cautious = continuous.quantiles(par, times, found, seed)
-        return pd.DataFrame({"stream_id": rows["stream_id"], "cell": rows["cell"], "bin_start": rows["ts"], "q_value": out, "q_detect": pd.Series(cautious, index=rows.index, dtype="float64"), "model_version": continuous.VERSION})
-
-    return obs.select("stream_id", "cell", "ts", "value").groupBy("stream_id", "cell").applyInPandas(run, ROW)
+def score_points(obs: DataFrame, par: continuous.ContinuousParams = continuous.ContinuousParams(), order: str = "value") -> DataFrame:
+    """Quantiles of point series (stream_id, cell, ts, value); null values and times unscored.
+
+    Of the rows of one time the first by the column `order` counts, later repeats are left out.
+    A task reads its series one after the other in sorted batches, and holds a batch and a model."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        series = state = last = seed = None
+        for batch in batches:
+            for key, rows in batch.groupby(["stream_id", "cell"], sort=False, dropna=False):
+                key = tuple(None if pd.isna(k) else k for k in key)
+                if key != series:
+                    series, state, last, seed = key, continuous.ContinuousState(), None, zlib.crc32(f"{key[0]}|{key[1]}".encode())
+                times = rows["ts"].tolist()
+                rows = rows[[ts != before for ts, before in zip(times, [last, *times])]]
+                last, times = times[-1], rows["ts"].tolist()
+                state, found = continuous.follow(state, par, times, rows["value"].tolist())
+                out, cautious = continuous.quantiles(par, times, found, seed)
+                yield pd.DataFrame({"stream_id": rows["stream_id"], "cell": rows["cell"], "bin_start": rows["ts"], "q_value": out, "q_detect": pd.Series(cautious, index=rows.index, dtype="float64"), "model_version": continuous.VERSION})
+
+    known = obs.where(F.col("ts").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value")).select("stream_id", "cell", "ts", "value", F.col(order).alias("_order"))
+    return known.repartition("stream_id", "cell").sortWithinPartitions("stream_id", "cell", "ts", "_order").drop("_order").mapInPandas(run, ROW)
 
 
 def score_counts(windows: DataFrame, width: int, cells_a_group: int = 256, par: count.CountParams = count.CountParams()) -> DataFrame:

@@ -19,7 +19,7 @@ COUNTS = tuple(s for s, flavor in FLAVOR.items() if flavor == "count")
 @query()
 def continuous_model_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = obs(spark, sf_dir).where(F.col("stream_id").isin(*(s for s in FLAVOR if s not in COUNTS))).withColumn("value", F.log1p("value"))
-    return scoring.score_points(points, ContinuousParams(obs_scale=1.0, level_var=1e-4))
+    return scoring.score_points(points, ContinuousParams(obs_scale=1.0, level_var=1e-4), "event_id")
 
 
 @query()

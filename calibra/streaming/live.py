@@ -46,13 +46,16 @@ def score_points(stream: DataFrame, par: continuous.ContinuousParams = continuou
     def run(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         model, last = pickle.loads(state.get[0]) if state.exists else (continuous.ContinuousState(), None)
         rows = pd.concat(list(parts)).sort_values("ts")
-        out, seed = [], zlib.crc32("|".join(key).encode())
+        seed, steps, scored = zlib.crc32("|".join(key).encode()), [], []
         for ts, y in zip(rows["ts"].tolist(), rows["value"].tolist()):
-            q = cautious = None
-            if y is not None and not np.isnan(y) and (last is None or ts > last):
-                model, q, cautious = continuous.step(model, par, ts, y, seed)
+            scored.append(y is not None and not np.isnan(y) and (last is None or ts > last))
+            if scored[-1]:
+                steps.append((ts, y))
                 last = ts
-            out.append((*key, ts, q, cautious, continuous.VERSION))
+        times = [ts for ts, _ in steps]
+        model, found = continuous.follow(model, par, times, [y for _, y in steps])
+        told = zip(*continuous.quantiles(par, times, found, seed))
+        out = [(*key, ts, *(next(told) if good else (None, None)), continuous.VERSION) for ts, good in zip(rows["ts"].tolist(), scored)]
         state.update((pickle.dumps((model, last)),))
         yield pd.DataFrame(out, columns=["stream_id", "cell", "bin_start", "q_value", "q_detect", "model_version"])
 
